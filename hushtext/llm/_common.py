@@ -56,11 +56,16 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow, with this package on the path of Python workers that the driver's machine starts."""
-    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    """mapInArrow, with this package on the workers' path."""
+    worker_path(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def worker_path(spark: SparkSession) -> None:
+    """Put this package on the path of Python workers that the driver's machine starts."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
-    return df.mapInArrow(run, schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:

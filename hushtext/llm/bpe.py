@@ -25,7 +25,7 @@ from hushtext.llm._common import UnitMemo, map_arrow, portions, texts
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Nodes after which a worker's trie starts anew; bounds memory only.
-NODE_LIMIT = 3_000_000
+NODE_LIMIT = 1_000_000
 ROOT = -1
 
 
@@ -50,12 +50,12 @@ class BpeTrie:
         self.born = {t: r for r, (_, _, t) in enumerate(merges)}
         self.node_limit = node_limit
         self.spines: tuple[dict, dict] = {}, {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by first << 32 | second
         self.whole: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.edges: dict[tuple[int, str], int] = {}
+        self.edges: dict[int, int] = {}  # by node << 10 | symbol
         self.last, self.before = [ROOT], [0]
 
     def _spine(self, t: int, side: int) -> list[tuple[int, float]]:
@@ -100,7 +100,7 @@ class BpeTrie:
             return self._is_whole(t)
         if len(self.fits) >= self.node_limit:
             self.fits.clear()
-        fits = self.fits[a, t] = self._is_whole(t) and self._apart(a, t)
+        fits = self.fits[a << 32 | t] = self._is_whole(t) and self._apart(a, t)
         return fits
 
     def _grow(self, path: list[int], word: str, end: int) -> int:
@@ -109,12 +109,12 @@ class BpeTrie:
         for start in range(max(0, end - self.longest), end):
             if (t := token.get(word[start:end])) is not None:
                 a = last[path[start]]
-                if (ok := fits.get((a, t))) is None:
+                if (ok := fits.get(a << 32 | t)) is None:
                     ok = self._may_follow(a, t)
                 if ok:
                     last.append(t)
                     self.before.append(path[start])
-                    self.edges[path[end - 1], word[end - 1]] = node = len(last) - 1
+                    self.edges[path[end - 1] << 10 | ord(word[end - 1])] = node = len(last) - 1
                     return node
         raise ValueError(f"the vocabulary has no symbol {word[end - 1]!r}")
 
@@ -130,7 +130,7 @@ class BpeTrie:
                 k += 1
             del path[k + 1 :]
             for end in range(k + 1, len(word) + 1):
-                node = self.edges.get((path[-1], word[end - 1]))
+                node = self.edges.get(path[-1] << 10 | ord(word[end - 1]))
                 path.append(self._grow(path, word, end) if node is None else node)
             ids, node = [], path[-1]
             while node:
@@ -170,7 +170,7 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.memo = UnitMemo(self._encode_units)
+        self.memo = UnitMemo(self._encode_units, 500_000)
 
     def _encode_units(self, units: list[str]) -> list[list[int]]:
         words = [self.word.findall(u) for u in units]
