@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushtext.llm import bpe, fertility_rules, mixing, ngram_join, sharding, token_files
+from hushtext.llm import bpe, fertility_rules, media_chunks, mixing, ngram_join, sharding, token_files
 from hushtext.llm._common import fresh_path
 
 SHARD_BYTES = 64 << 20
@@ -34,6 +34,12 @@ def op7_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules.judge(_documents(spark, sf_dir).select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "media")
+    media_chunks.write(_documents(spark, sf_dir), path)
+    return media_chunks.digests(media_chunks.read(spark, path))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take(_documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,7 +49,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_token_files, op4_sharding, op7_fertility_rules, op9_mixing, op10_ngram_join)} | {
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_token_files, op4_sharding, op7_fertility_rules, op8_media_chunks, op9_mixing, op10_ngram_join)} | {
         # the same operator at a limit at which small tables split too
         "sharding_small_limit": lambda spark, sf_dir: sharding.assign(_documents(spark, sf_dir), 128 << 10)[0],
     }
