@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushtext.llm import bpe, fertility_rules, media_chunks, mixing, ngram_join, sharding, token_files
+from hushtext.llm import bpe, fertility_rules, language_id, media_chunks, mixing, ngram_join, quality_resample, sharding, token_files, toxicity
 from hushtext.llm._common import fresh_path
 
 SHARD_BYTES = 64 << 20
@@ -30,6 +30,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_documents(spark, sf_dir), SHARD_BYTES)[0]
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).select("doc_id", *language_id.RESULTS)
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_resample.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules.judge(_documents(spark, sf_dir).select("doc_id", "text", "lang")).drop("text", "lang")
 
@@ -49,7 +66,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_token_files, op4_sharding, op7_fertility_rules, op8_media_chunks, op9_mixing, op10_ngram_join)} | {
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_token_files, op4_sharding, op5_quality_resample, op6_toxicity, op7_fertility_rules, op8_media_chunks, op9_mixing, op10_ngram_join, language_id_pages)} | {
         # the same operator at a limit at which small tables split too
         "sharding_small_limit": lambda spark, sf_dir: sharding.assign(_documents(spark, sf_dir), 128 << 10)[0],
     }

@@ -10,7 +10,6 @@ place of a document among all ids needs only one sum for each file.
 from __future__ import annotations
 
 import json
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,11 +18,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushtext.llm._common import UnitMemo, map_arrow, map_batches, texts
+from hushtext.llm.bpe import byte_symbols
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -31,32 +32,48 @@ STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 10_000
 BLOOM_FPP = 0.01
 
-#: A single space between other characters: no pre-token of a byte-level vocabulary goes past it to the left.
+#: The rule by which byte-level vocabularies part a text before merging; white space is Unicode White_Space.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: A single space between other characters: no piece goes past it to the left.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s \S|\S \s|\s \s|^ | $")
+_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_ODD = ("  ", "\n ", " \n", *_BLANKS)
+PIECE_LIMIT = 500_000
 
 
 class ByteBpe:
-    """Ids as the tokenizers library gives them, with its answers for repeated units of text memoised."""
+    """Ids as the tokenizers library gives them for whole texts.
+
+    A text is parted into units at single spaces, which no piece spans; units are memoised, and so are the
+    answers of the library's model for the pieces of new units.
+    """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_file(path).model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel":
+        if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path}: a byte-level vocabulary is asked for")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.first, self.later = UnitMemo(lambda u: self._library(u)), UnitMemo(lambda u: self._library([" " + x for x in u]))
-
-    def _library(self, units: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.pieces: dict[str, list[int]] = {}
+        self.first, self.later = UnitMemo(lambda u: self._encode_units(u, ""), PIECE_LIMIT), UnitMemo(lambda u: self._encode_units(u, " "), PIECE_LIMIT)
+
+    def _encode_units(self, units: list[str], lead: str) -> list[list[int]]:
+        parts = [PIECE.findall(lead + u) for u in units]
+        if len(self.pieces) > PIECE_LIMIT:
+            self.pieces.clear()
+        pieces = self.pieces
+        for p in {p for x in parts for p in x if p not in pieces}:
+            pieces[p] = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.symbols))]
+        return [[i for p in x for i in pieces[p]] for x in parts]
 
     def _plain(self, text: str) -> np.ndarray:
-        units = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        odd = text[:1] == " " or text[-1:] == " " or any(s in text for s in _ODD)
+        units = _CUT.split(text) if odd else text.split(" ")
         return np.concatenate([self.first.ids(units[:1]), self.later.ids(units[1:])])
 
     def encode(self, text: str) -> np.ndarray:
