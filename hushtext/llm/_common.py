@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries after which a worker starts its memo anew. It bounds memory only; results never depend on it.
-MEMO_LIMIT = 1_500_000
+MEMO_LIMIT = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,6 +87,17 @@ def portions(items: Iterator[str], size: int = 8_000_000) -> Iterator[list[str]]
         yield part
 
 
+_HELD: dict = {}
+
+
+def only(name: str, make: Callable):
+    """What a worker keeps between batches: one object at a time, so that stages of a job don't add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class WordHash(dict):
     """64-bit hashes of words, memoised: map(self.__getitem__, words) stays in C for words seen before."""
 
@@ -145,3 +156,7 @@ class UnitMemo:
         sizes = self.sizes[at].astype(np.int64)
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+
+def word_hashes() -> WordHash:
+    return only("words", WordHash)

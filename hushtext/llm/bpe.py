@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +20,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from hushtext.llm._common import UnitMemo, map_arrow, portions, texts
+from hushtext.llm._common import UnitMemo, map_arrow, only, portions, texts
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Nodes after which a worker's trie starts anew; bounds memory only.
-NODE_LIMIT = 1_000_000
+NODE_LIMIT = 600_000
 ROOT = -1
 
 
@@ -170,7 +169,7 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.memo = UnitMemo(self._encode_units, 500_000)
+        self.memo = UnitMemo(self._encode_units, 300_000)
 
     def _encode_units(self, units: list[str]) -> list[list[int]]:
         words = [self.word.findall(u) for u in units]
@@ -208,9 +207,8 @@ class WordBpe:
             return " ".join(self.names[i] for i in ids.tolist() if i in self.names)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> WordBpe:
-    return WordBpe(path)
+    return only(f"bpe {path}", lambda: WordBpe(path))
 
 
 def _vocabulary(path: str | None) -> str:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtext.llm._common import WordHash, map_arrow, map_batches, stored, worker_path
+from hushtext.llm._common import map_arrow, map_batches, stored, word_hashes, worker_path
 
 WORD = re.compile(r"\w+")
 BLOCK = 1024
@@ -51,14 +51,9 @@ def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**63, n, dtype=np.uint64) * 2 + 1, rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-@lru_cache(maxsize=1)
-def _hasher() -> WordHash:
-    return WordHash()
-
-
 def shingles(text: str, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of n words in lower case; a shorter text is one run."""
-    words = _hasher().of(WORD.findall(text.lower()))
+    words = word_hashes().of(WORD.findall(text.lower()))
     if not len(words):
         return words
     n = min(n, len(words))

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtext.llm._common import WordHash, map_batches, stored
+from hushtext.llm._common import map_batches, stored, word_hashes
 from hushtext.llm.sharding import HASH_BITS, key_hash
 
 BUCKET_BITS = 14
@@ -31,14 +30,9 @@ DIGIT_BITS = 12
 KEY_SCALE = 1 << 24
 
 
-@lru_cache(maxsize=1)
-def _hasher() -> WordHash:
-    return WordHash()
-
-
 def buckets(text: str) -> np.ndarray:
     """Buckets of the words and word pairs of a text."""
-    words = _hasher().of(WORD.findall(text.lower()))
+    words = word_hashes().of(WORD.findall(text.lower()))
     with np.errstate(over="ignore"):
         pairs = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:]
         both = np.concatenate([words, pairs]) * np.uint64(0xBF58476D1CE4E5B9)

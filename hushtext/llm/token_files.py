@@ -13,7 +13,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hushtext.llm._common import UnitMemo, map_arrow, map_batches, texts
+from hushtext.llm._common import UnitMemo, map_arrow, map_batches, only, texts
 from hushtext.llm.bpe import byte_symbols
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -38,7 +37,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_S
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _ODD = ("  ", "\n ", " \n", *_BLANKS)
-PIECE_LIMIT = 500_000
+PIECE_LIMIT = 300_000
 
 
 class ByteBpe:
@@ -82,9 +81,8 @@ class ByteBpe:
         return np.concatenate([np.array([self.special[p]], np.int32) if p in self.special else self._plain(p) for p in self.specials.split(text)])
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return only(f"bytes {path}", lambda: ByteBpe(path))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, files: int | None = None) -> None:

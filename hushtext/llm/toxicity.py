@@ -14,14 +14,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushtext.llm._common import WordHash, map_batches, stored
+from hushtext.llm._common import map_batches, stored, word_hashes
 
 #: Labelled rows of each class from which the models are counted, and on which the curve is fitted; least hashes first.
 COUNT_ROWS, CURVE_ROWS = 12_000, 6_000
@@ -36,14 +35,9 @@ WORD = re.compile(r"\w+")
 _START = np.uint64(0x51_7C_C1_B7_27_22_0A_95)
 
 
-@lru_cache(maxsize=1)
-def _hasher() -> WordHash:
-    return WordHash()
-
-
 def _hashes(text: str) -> np.ndarray:
     words = WORD.findall(text.lower())
-    return _hasher().of(words)
+    return word_hashes().of(words)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
