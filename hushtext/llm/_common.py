@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Entries after which a worker starts its memo anew. It bounds memory only; results never depend on it.
 MEMO_LIMIT = 400_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,7 +66,10 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def worker_path(spark: SparkSession) -> None:
-    """Put this package on the path of Python workers that the driver's machine starts."""
+    """Bound the batches of Python workers, and put this package on the path of those that the driver's machine starts."""
+    # rows and bytes of text that a batch holds, in the JVM and in Python
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
@@ -93,7 +100,11 @@ _HELD: dict = {}
 def only(name: str, make: Callable):
     """What a worker keeps between batches: one object at a time, so that stages of a job don't add up."""
     if name not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)  # give what it held back to the system
         _HELD[name] = make()
     return _HELD[name]
 

@@ -24,7 +24,7 @@ from hushtext.llm._common import UnitMemo, map_arrow, only, portions, texts
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Nodes after which a worker's trie starts anew; bounds memory only.
-NODE_LIMIT = 600_000
+NODE_LIMIT = 400_000
 ROOT = -1
 
 
@@ -169,7 +169,7 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.memo = UnitMemo(self._encode_units, 300_000)
+        self.memo = UnitMemo(self._encode_units, 250_000)
 
     def _encode_units(self, units: list[str]) -> list[list[int]]:
         words = [self.word.findall(u) for u in units]
