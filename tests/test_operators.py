@@ -1,0 +1,76 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from hushtext.functions import text, vectors
+from hushtext.operators import metrics, privacy, retrieval
+from hushtext.operators.stemming import stem
+
+SENTENCES = {
+    "Hello there. How are you?": ["Hello there.", "How are you?"],
+    "Hi. Ok! Longer sentence here.": ["Longer sentence here."],
+    "Wait...  What?! Really now.\n\nNew para here": ["Wait...", "What?!", "Really now.", "New para here"],
+    " Line one\nLine two. Line three": ["Line one\nLine two.", "Line three"],
+    "12345": [],
+    "123456": ["123456"],
+    "": [],
+    None: [],
+}
+
+
+def test_sentences(spark):
+    rows = spark.createDataFrame([(k,) for k in SENTENCES], "t string").select("t", text.sentences(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == SENTENCES
+
+
+GOLDEN = {0.5: 14.063653351165, 1: 7.461263269632, 10: 0.999777239418, 30: 0.429440293055, 100: 0.189339814029, 1000: 0.049163566703}
+
+
+@pytest.mark.parametrize("epsilon", GOLDEN)
+def test_sigma(epsilon):
+    assert privacy.sigma(float(epsilon), 1e-5) == pytest.approx(GOLDEN[epsilon], rel=1e-9)
+
+
+def test_sigma_refuses():
+    with pytest.raises(ValueError):
+        privacy.sigma(0.0, 1e-5)
+
+
+def test_norms(spark):
+    r = spark.createDataFrame([([0.0, 0.0],), ([1e-12, 0.0],)], "v array<double>").select(vectors.normalized(F.col("v")).alias("n"), vectors.renormalized(F.col("v")).alias("r")).collect()
+    assert r[0].n == [0, 0] and r[1].n == pytest.approx([0.01, 0]) and r[1].r == [1e-12, 0]
+
+
+def test_chain_denoise(spark):
+    df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 0, [3.0, 4.0])], "d int, p int, v array<double>")
+    r = {(x.d, x.p): x.v for x in retrieval.chain_denoise(df, "d", "p", "v").collect()}
+    assert r[1, 0] == pytest.approx([math.sqrt(0.5)] * 2) and r[1, 1] == pytest.approx(r[1, 0]) and r[2, 0] == pytest.approx([0.6, 0.8])
+
+
+def test_exponential_mechanism(spark):
+    df = spark.createDataFrame([(1, 0, 0.0), (1, 1, 1.0)], "q int, i int, u double")
+    r = {x.i: x.prob for x in privacy.selection_probabilities(df, ["q"], "u", 2.0).collect()}
+    assert r[0] == pytest.approx(0.2689, abs=1e-4) and r[1] == pytest.approx(0.7311, abs=1e-4)
+
+
+def test_text_metrics_of_equal_texts(spark):
+    df = spark.createDataFrame([("the cats were running fast", "the cats were running fast")], "original string, sanitized string")
+    r = metrics.text_metrics(df).first()
+    assert r.bleu == pytest.approx(1) and r.rouge1 == r.rouge2 == r.rougeL == 1
+
+
+def test_longest_common():
+    assert metrics.longest_common(list("abcbdab"), list("bdcaba")) == 4
+
+
+def test_stem():
+    assert [stem(w) for w in ("caresses", "ponies", "agreed", "hopping", "relational", "goodness", "happy")] == ["caress", "poni", "agre", "hop", "relat", "good", "happi"]
+
+
+def test_retrieval_takes_the_nearest(spark):
+    pool = spark.createDataFrame([(0, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [1.0, 0.0])], "pool_id long, cluster int, embedding array<double>")
+    centroids = spark.createDataFrame([(0, [0.7, 0.7])], "cluster int, centroid array<double>")
+    private = spark.createDataFrame([(5, 0, [0.9, 0.1]), (5, 1, [0.1, 0.9])], "doc_id long, pos int, noisy array<double>")
+    r = sorted((x.pos, x.pool_id) for x in retrieval.retrieve(private, pool, centroids, weights=retrieval.Weights(1, 0, 0, 0)).collect())
+    assert r == [(0, 0), (1, 1)]
