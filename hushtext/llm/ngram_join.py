@@ -108,13 +108,13 @@ def _same(sets: list[np.ndarray], pairs: np.ndarray, left: np.ndarray, right: np
     return out[row[pairs[:, 0]], col[pairs[:, 1]]].astype(np.int64)
 
 
-def verify(nodes: list[bytes], copies: np.ndarray, sides: np.ndarray, band: int, hashes: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[dict, list]:
-    """Links of the pairs of a block with itself (all sides 0), or of side 0 with side 1.
+def verify(nodes: list[bytes], copies: np.ndarray, sides: np.ndarray, band: int, hashes: np.ndarray, sets: list[np.ndarray], threshold: float, own: bool) -> tuple[dict, list]:
+    """Links of the pairs of a block with itself (own, all sides 0), or of side 0 with side 1, which may be empty.
 
     Gives the documents linked to each node, and links (node, least node) of a spanning forest.
     """
     left = np.flatnonzero(sides == 0)
-    right = np.flatnonzero(sides == 1) if (sides == 1).any() else left
+    right = left if own else np.flatnonzero(sides == 1)
     sizes, links, parent = np.array([len(s) for s in sets]), {}, list(range(len(nodes)))
 
     def find(x: int) -> int:
@@ -244,7 +244,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     def check(block: pd.DataFrame) -> pd.DataFrame:
         hashes = np.array(block["bands"].tolist(), np.int64)
         sets = [np.frombuffer(s, np.uint64) for s in block["set"]]
-        links, forest = verify(block["node"].tolist(), block["copies"].to_numpy(), block["side"].to_numpy(), int(block["band"].iat[0]), hashes, sets, threshold)
+        links, forest = verify(block["node"].tolist(), block["copies"].to_numpy(), block["side"].to_numpy(), int(block["band"].iat[0]), hashes, sets, threshold, bool(block["x"].iat[0] == block["y"].iat[0]))
         up = dict(forest)
         return pd.DataFrame({"node": list(links), "links": list(links.values()), "up": [up.get(x) for x in links]}, columns=["node", "links", "up"])
 
