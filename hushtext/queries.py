@@ -47,7 +47,7 @@ S = "SELECT doc_id, trim(x, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS
 SENT = f"WITH raw AS ({S}), sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, sentence FROM raw WHERE length(sentence) > 5), cnt AS (SELECT d.doc_id, count(s.doc_id) AS n FROM documents d LEFT JOIN sent s ON d.doc_id = s.doc_id GROUP BY d.doc_id)"
 SPLIT = "split AS (SELECT doc_id, rk AS split_rank, rk <= floor(n * 0.5) AS is_public FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42|'||doc_id), doc_id) AS rk, count(*) OVER () AS n FROM documents))"
 CENT = "mean AS (SELECT label, i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i), cent AS (SELECT label AS cluster, list(x / nrm ORDER BY i) AS centroid FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS nrm FROM mean) GROUP BY label)"
-TOP = "top AS (SELECT vec_id, cluster, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster) AS cluster_rank, sim FROM (SELECT vec_id, cluster, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], centroid), z -> z[1] * z[2])), 9) AS sim FROM embeddings, cent))"
+TOP = "top AS (SELECT vec_id, cluster, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster) AS cluster_rank, sim FROM (SELECT vec_id, cluster, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], centroid), lambda z: z[1] * z[2])), 9) AS sim FROM embeddings, cent))"
 UNI = "(('0x'||substr(md5({}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
 
 
@@ -110,7 +110,7 @@ def l2_normalize(spark, d):
     return v.select("vec_id", F.posexplode(vectors.rounded(F.col("v"))).alias("dim", "value"))
 
 
-@query(f"{SENT}, w AS (SELECT doc_id, pos, unnest(list_filter(string_split_regex(lower(sentence), '\\s+'), x -> x <> '')) AS w FROM sent WHERE pos < 3), h AS (SELECT doc_id, pos, ('0x'||substr(md5(w), 1, 8))::BIGINT AS h FROM w), g AS (SELECT doc_id, pos, (h % {DIM})::INT AS dim, sum(CASE WHEN (h // {DIM}) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL) SELECT doc_id, pos::INT AS pos, dim, round(x / nrm, 6) AS value FROM (SELECT *, greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id, pos)), 1e-10) AS nrm FROM g) WHERE x <> 0")
+@query(f"{SENT}, w AS (SELECT doc_id, pos, unnest(list_filter(string_split_regex(lower(sentence), '\\s+'), lambda x: x <> '')) AS w FROM sent WHERE pos < 3), h AS (SELECT doc_id, pos, ('0x'||substr(md5(w), 1, 8))::BIGINT AS h FROM w), g AS (SELECT doc_id, pos, (h % {DIM})::INT AS dim, sum(CASE WHEN (h // {DIM}) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL) SELECT doc_id, pos::INT AS pos, dim, round(x / nrm, 6) AS value FROM (SELECT *, greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id, pos)), 1e-10) AS nrm FROM g) WHERE x <> 0")
 def hash_embed(spark, d):
     rows = embedding.embed(documents.split_sentences(_t(spark, d, "documents"), 3), "sentence", dim=DIM)
     return rows.select("doc_id", "pos", F.posexplode(vectors.rounded(F.col("embedding"))).alias("dim", "value")).where("value != 0")
@@ -210,7 +210,7 @@ def exp_mech_select(spark, d):
     return privacy.select_one(u, ["q"], "vec_id", "s", 2.0, "test")
 
 
-@query("SELECT round(avg(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), z -> z[1] * z[2]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("SELECT round(avg(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] * z[2]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_mean(spark, d):
     a, b = _t(spark, d, "embeddings"), _t(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e"))
     return a.join(b, "vec_id").agg(F.round(F.avg(vectors.dot(F.col("embedding"), F.col("e"))), 6).alias("cosine"))
@@ -226,7 +226,7 @@ def bleu_rouge(spark, d):
     return metrics.text_metrics(_pairs(spark, d))
 
 
-@query("WITH p AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '') AS r, list_filter(string_split(regexp_replace(lower(regexp_replace(text, '\\b(the|le|la|de|der|die)\\b', 'a', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '') AS h FROM benchmark), c AS (SELECT item_id, w, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b FROM (SELECT item_id, unnest(r) AS w, 0 AS k FROM p UNION ALL SELECT item_id, unnest(h), 1 FROM p) GROUP BY item_id, w) SELECT p.item_id, round(2.0 * (SELECT sum(least(a, b)) FROM c WHERE c.item_id = p.item_id) / (len(r) + len(h)), 6) AS f FROM p")
+@query("WITH p AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS r, list_filter(string_split(regexp_replace(lower(regexp_replace(text, '\\b(the|le|la|de|der|die)\\b', 'a', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS h FROM benchmark), c AS (SELECT item_id, w, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b FROM (SELECT item_id, unnest(r) AS w, 0 AS k FROM p UNION ALL SELECT item_id, unnest(h), 1 FROM p) GROUP BY item_id, w) SELECT p.item_id, round(2.0 * (SELECT sum(least(a, b)) FROM c WHERE c.item_id = p.item_id) / (len(r) + len(h)), 6) AS f FROM p")
 def rouge_1(spark, d):
     return _pairs(spark, d).select("item_id", F.round(metrics.rouge_n(F.col("original"), F.col("sanitized"), 1), 6).alias("f"))
 
