@@ -218,7 +218,7 @@ def cosine_mean(spark, d):
 
 def _pairs(spark, d):
     b = _t(spark, d, "benchmark")
-    return b.select("item_id", F.col("text").alias("original"), F.regexp_replace("text", r"\b(the|le|la|de|der|die)\b", "a").alias("sanitized"))
+    return b.select("item_id", F.col("text").alias("original"), F.regexp_replace("text", " (the|le|la|de|der|die) ", " a ").alias("sanitized"))
 
 
 @query()
@@ -226,7 +226,7 @@ def bleu_rouge(spark, d):
     return metrics.text_metrics(_pairs(spark, d))
 
 
-@query("WITH p AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS r, list_filter(string_split(regexp_replace(lower(regexp_replace(text, '\\b(the|le|la|de|der|die)\\b', 'a', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS h FROM benchmark), c AS (SELECT item_id, w, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b FROM (SELECT item_id, unnest(r) AS w, 0 AS k FROM p UNION ALL SELECT item_id, unnest(h), 1 FROM p) GROUP BY item_id, w) SELECT p.item_id, round(2.0 * (SELECT sum(least(a, b)) FROM c WHERE c.item_id = p.item_id) / (len(r) + len(h)), 6) AS f FROM p")
+@query("WITH p AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS r, list_filter(string_split(regexp_replace(lower(regexp_replace(text, ' (the|le|la|de|der|die) ', ' a ', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS h FROM benchmark), c AS (SELECT item_id, w, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b FROM (SELECT item_id, unnest(r) AS w, 0 AS k FROM p UNION ALL SELECT item_id, unnest(h), 1 FROM p) GROUP BY item_id, w) SELECT p.item_id, round(2.0 * (SELECT sum(least(a, b)) FROM c WHERE c.item_id = p.item_id) / (len(r) + len(h)), 6) AS f FROM p")
 def rouge_1(spark, d):
     return _pairs(spark, d).select("item_id", F.round(metrics.rouge_n(F.col("original"), F.col("sanitized"), 1), 6).alias("f"))
 
