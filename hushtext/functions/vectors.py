@@ -20,14 +20,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalized(v: Column) -> Column:
     """Divided by its norm, or by FLOOR if the norm is less; a zero vector stays zero."""
-    return F.transform(doubles(v), lambda x: x / F.greatest(norm(v), F.lit(FLOOR)))
+    return let(doubles(v), lambda a: let(F.greatest(norm(a), F.lit(FLOOR)), lambda n: F.transform(a, lambda x: x / n)))
 
 
 def renormalized(v: Column) -> Column:
     """Divided by its norm; unchanged if that is below FLOOR."""
-    return F.when(norm(v) < FLOOR, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / norm(v)))
+    return let(doubles(v), lambda a: let(norm(a), lambda n: F.when(n < FLOOR, a).otherwise(F.transform(a, lambda x: x / n))))
 
 
 def plus(a: Column, b: Column) -> Column:
