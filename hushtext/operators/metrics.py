@@ -14,26 +14,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushtext.functions.text import ngrams, plain_tokens, tokens
-from hushtext.functions.vectors import dot, norm
+from hushtext.functions.vectors import dot, let, norm
 from hushtext.operators.stemming import stem
 
 
 def overlap(hypothesis: Column, reference: Column) -> Column:
     """How many items two lists share, each counted as often as the list with fewer has it."""
     count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
-    return F.aggregate(F.array_distinct(hypothesis), F.lit(0), lambda s, x: s + F.least(count(hypothesis, x), count(reference, x)))
+    both = lambda h, r: F.aggregate(F.array_intersect(h, r), F.lit(0), lambda s, x: s + F.least(count(h, x), count(r, x)))
+    return let(hypothesis, lambda h: let(reference, lambda r: both(h, r)))
 
 
 def bleu(original: Column, sanitized: Column) -> Column:
     """4-gram sentence BLEU; a count of no matches beyond single words is taken as 0.1. No words: 0."""
-    ref, hyp = tokens(original), tokens(sanitized)
-    logs = F.lit(0.0)
-    for n in (1, 2, 3, 4):
-        grams = ngrams(hyp, n)
-        matches = overlap(grams, ngrams(ref, n)).cast("double")
-        logs = logs + F.ln(F.when(matches == 0, 0.1).otherwise(matches) / F.greatest(F.size(grams), F.lit(1))) / 4
-    brevity = F.when(F.size(hyp) > F.size(ref), 1.0).otherwise(F.exp(1.0 - F.size(ref) / F.size(hyp)))
-    return F.when((F.size(hyp) == 0) | (overlap(hyp, ref) == 0), 0.0).otherwise(brevity * F.exp(logs))
+
+    def score(hyp: Column, ref: Column) -> Column:
+        logs = F.lit(0.0)
+        for n in (1, 2, 3, 4):
+            matches = overlap(ngrams(hyp, n), ngrams(ref, n)).cast("double")
+            logs = logs + F.ln(F.when(matches == 0, 0.1).otherwise(matches) / F.greatest(F.size(hyp) - (n - 1), F.lit(1))) / 4
+        brevity = F.when(F.size(hyp) > F.size(ref), 1.0).otherwise(F.exp(1.0 - F.size(ref) / F.size(hyp)))
+        return F.when((F.size(hyp) == 0) | ~F.arrays_overlap(hyp, ref), 0.0).otherwise(brevity * F.exp(logs))
+
+    return let(tokens(sanitized), lambda hyp: let(tokens(original), lambda ref: score(hyp, ref)))
 
 
 def f_measure(both: Column, n_hyp: Column, n_ref: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushtext import sources
 from hushtext.functions import noise, text, vectors
 from hushtext.operators import documents, embedding, metrics, privacy, retrieval
+from hushtext.operators.storage import stored
 from hushtext.plans.sanitize import Settings, sanitize, sanitize_paired
 
 QUERIES: dict = {}
@@ -110,9 +111,9 @@ def l2_normalize(spark, d):
     return v.select("vec_id", F.posexplode(vectors.rounded(F.col("v"))).alias("dim", "value"))
 
 
-@query(f"{SENT}, w AS (SELECT doc_id, pos, unnest(list_filter(string_split_regex(lower(sentence), '\\s+'), lambda x: x <> '')) AS w FROM sent WHERE pos < 3), h AS (SELECT doc_id, pos, ('0x'||substr(md5(w), 1, 8))::BIGINT AS h FROM w), g AS (SELECT doc_id, pos, (h % {DIM})::INT AS dim, sum(CASE WHEN (h // {DIM}) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL) SELECT doc_id, pos::INT AS pos, dim, round(x / nrm, 6) AS value FROM (SELECT *, greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id, pos)), 1e-10) AS nrm FROM g) WHERE x <> 0")
+@query(f"{SENT}, w AS (SELECT doc_id, pos, unnest(list_filter(string_split_regex(lower(sentence), '\\s+'), lambda x: x <> '')) AS w FROM sent), h AS (SELECT doc_id, pos, ('0x'||substr(md5(w), 1, 8))::BIGINT AS h FROM w), g AS (SELECT doc_id, pos, (h % {DIM})::INT AS dim, sum(CASE WHEN (h // {DIM}) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL) SELECT doc_id, pos::INT AS pos, dim, round(x / nrm, 6) AS value FROM (SELECT *, greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id, pos)), 1e-10) AS nrm FROM g) WHERE x <> 0")
 def hash_embed(spark, d):
-    rows = embedding.embed(documents.split_sentences(_t(spark, d, "documents"), 3), "sentence", dim=DIM)
+    rows = embedding.embed(documents.split_sentences(_t(spark, d, "documents")), "sentence", dim=DIM)
     return rows.select("doc_id", "pos", F.posexplode(vectors.rounded(F.col("embedding"))).alias("dim", "value")).where("value != 0")
 
 
@@ -139,9 +140,9 @@ def cluster_sizes(spark, d):
     return retrieval.cluster_sizes(_t(spark, d, "embeddings").select(F.col("label").alias("cluster")), _centroids(spark, d))
 
 
-@query("SELECT * FROM (VALUES (100.0::DOUBLE, 1, 100.0::DOUBLE, 0.18933981::DOUBLE), (100.0, 2, 50.0, 0.29952122), (100.0, 10, 10.0, 0.99977724), (100.0, 100, 1.0, 7.46126327), (250.0, 1, 250.0, 0.10788441), (250.0, 2, 125.0, 0.16442235), (250.0, 10, 25.0, 0.49080660), (250.0, 100, 2.5, 3.27389803)) t(epsilon, n_sentences, epsilon_sentence, sigma) WHERE epsilon_sentence NOT IN (25.0, 2.5)")
+@query("SELECT * FROM (VALUES (100.0::DOUBLE, 1, 100.0::DOUBLE, 0.18933981::DOUBLE), (100.0, 2, 50.0, 0.29952122), (100.0, 10, 10.0, 0.99977724), (100.0, 100, 1.0, 7.46126327), (250.0, 1, 250.0, 0.10788441), (250.0, 2, 125.0, 0.16442235), (250.0, 10, 25.0, 0.49080660), (250.0, 100, 2.5, 3.26800499)) t(epsilon, n_sentences, epsilon_sentence, sigma)")
 def sigma_table(spark, d):
-    return privacy.sigma_table(spark, EPSILONS, [1, 2, 10, 100]).where("epsilon_sentence not in (25.0, 2.5)").withColumn("sigma", F.round("sigma", 8))
+    return privacy.sigma_table(spark, EPSILONS, [1, 2, 10, 100]).withColumn("sigma", F.round("sigma", 8))
 
 
 @query(f"SELECT vec_id, dim, round(x + 0.5 * sqrt(-2 * ln({UNI.format(chr(39)+'test|'+chr(39)+'||vec_id||'+chr(39)+'|'+chr(39)+'||dim||'+chr(39)+'|a'+chr(39))})) * cos(2 * pi() * ({UNI.format(chr(39)+'test|'+chr(39)+'||vec_id||'+chr(39)+'|'+chr(39)+'||dim||'+chr(39)+'|b'+chr(39))})), 6) AS value FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT - 1 AS dim FROM embeddings)")
@@ -165,8 +166,8 @@ def retrieve_no_prev(spark, d):
 
 def _pool(spark, d):
     docs = _t(spark, d, "documents")
-    found, split = embedding.embed(documents.split_sentences(docs, 20), "sentence", dim=16), documents.public_split(docs, max_public=2000, max_private=200)
-    pool, centroids = retrieval.fit_clusters(documents.public_pool(found, split), k=20)
+    found, split = stored(embedding.embed(documents.split_sentences(docs), "sentence", dim=16), "sentences"), documents.public_split(docs)
+    pool, centroids = retrieval.fit_clusters(documents.public_pool(found, split), k=50)
     return docs, documents.private_sentences(docs, found, split), pool, centroids
 
 
