@@ -133,6 +133,16 @@ def _by_hash(hashes: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [hashes[order], *(v[..., order] for v in values)]
 
 
+def _columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a bounded table, by Arrow, which makes no Python object of a row."""
+    table = df.toArrow()
+    return {c: table[c].to_numpy() for c in table.column_names}
+
+
+def _counts(columns: dict[str, np.ndarray], *names: str) -> np.ndarray:
+    return np.array([columns[c] for c in names], np.float64)
+
+
 def _least(labelled: DataFrame, n: int) -> DataFrame:
     """The n rows of least hash of each class."""
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
@@ -175,18 +185,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     mass = [F.coalesce(F.sum(F.when(F.col("k") == k, F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.0)))), F.lit(0.0)).alias(f"m{k}") for k in (0, 1)]
     contexts = stored(pairs.groupBy("a").agg(*by_class, *mass).where("m0 > 0 and m1 > 0"), "toxic-contexts")
     # what a bounded sample leaves above the discount
-    known_words = endings.where(some_left).orderBy("b").toPandas()
-    known_contexts = contexts.orderBy("a").toPandas()
-    known_pairs = pairs.join(contexts.select("a"), "a").groupBy("a", "b").agg(*by_class).where(some_left).toPandas()
-    key = known_pairs["a"].to_numpy(np.int64).view(np.uint64), known_pairs["b"].to_numpy(np.int64).view(np.uint64)
-    hashes = _pair(*key)
+    words, known_contexts = _columns(endings.where(some_left)), _columns(contexts)
+    known_pairs = _columns(pairs.join(contexts.select("a"), "a").groupBy("a", "b").agg(*by_class).where(some_left))
     model = Model(
-        *_by_hash(known_words["b"].to_numpy(np.int64).view(np.uint64), known_words[["n0", "n1"]].to_numpy(np.float64).T, known_words["shared"].to_numpy(np.float64)),
+        *_by_hash(words["b"].view(np.uint64), _counts(words, "n0", "n1"), words["shared"].astype(np.float64)),
         np.array(sums[:2], np.float64),
         np.array(sums[2:], np.float64),
-        *_by_hash(known_contexts["a"].to_numpy(np.int64).view(np.uint64), known_contexts[["n0", "n1"]].to_numpy(np.float64).T, known_contexts[["m0", "m1"]].to_numpy(np.float64).T),
-        *_by_hash(hashes, known_pairs[["n0", "n1"]].to_numpy(np.float64).T),
+        *_by_hash(known_contexts["a"].view(np.uint64), _counts(known_contexts, "n0", "n1"), _counts(known_contexts, "m0", "m1")),
+        *_by_hash(_pair(known_pairs["a"].view(np.uint64), known_pairs["b"].view(np.uint64)), _counts(known_pairs, "n0", "n1")),
     )
+    del words, known_contexts, known_pairs
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             x = [told.value.features(t.as_py() or "").tolist() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    seen = map_batches(rows.where("curve"), look, "toxic int, x array<double>").toPandas()
-    if seen["toxic"].nunique() == 2:
-        x, y = np.array(seen["x"].tolist()), seen["toxic"].to_numpy(np.float64)
+    seen = map_batches(rows.where("curve"), look, "toxic int, x array<double>").toArrow()
+    told.unpersist()
+    y = seen["toxic"].to_numpy().astype(np.float64)
+    if len(np.unique(y)) == 2:
+        x = seen["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
         order = np.lexsort((*x.T, y))  # sums don't depend on the order of rows
         model.weights = _fit_curve(x[order], y[order])
     else:
