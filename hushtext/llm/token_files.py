@@ -10,19 +10,18 @@ place of a document among all ids needs only one sum for each file.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tiktoken import Encoding
 
-from hushtext.llm._common import UnitMemo, map_arrow, map_batches, only, texts
+from hushtext.llm._common import map_arrow, map_batches, only, texts
 from hushtext.llm.bpe import byte_symbols
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -31,54 +30,40 @@ STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 10_000
 BLOOM_FPP = 0.01
 
-#: The rule by which byte-level vocabularies part a text before merging; white space is Unicode White_Space.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: A single space between other characters: no piece goes past it to the left.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
-_ODD = ("  ", "\n ", " \n", *_BLANKS)
-PIECE_LIMIT = 300_000
+#: The rule by which byte-level vocabularies part a text before merging.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteBpe:
-    """Ids as the tokenizers library gives them for whole texts.
+    """Ids as the tokenizers library gives them for whole texts, special tokens in a text included.
 
-    A text is parted into units at single spaces, which no piece spans; units are memoised, and so are the
-    answers of the library's model for the pieces of new units.
+    tiktoken merges by the ids themselves, so the file's ids must stand in the order of its merges. Texts whose
+    runs of white space are too long for its pattern go to the tokenizers library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path}: a byte-level vocabulary is asked for")
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.symbols = dict(enumerate(byte_symbols()))
-        self.pieces: dict[str, list[int]] = {}
-        self.first, self.later = UnitMemo(lambda u: self._encode_units(u, ""), PIECE_LIMIT), UnitMemo(lambda u: self._encode_units(u, " "), PIECE_LIMIT)
-
-    def _encode_units(self, units: list[str], lead: str) -> list[list[int]]:
-        parts = [PIECE.findall(lead + u) for u in units]
-        if len(self.pieces) > PIECE_LIMIT:
-            self.pieces.clear()
-        pieces = self.pieces
-        for p in {p for x in parts for p in x if p not in pieces}:
-            pieces[p] = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.symbols))]
-        return [[i for p in x for i in pieces[p]] for x in parts]
-
-    def _plain(self, text: str) -> np.ndarray:
-        odd = text[:1] == " " or text[-1:] == " " or any(s in text for s in _ODD)
-        units = _CUT.split(text) if odd else text.split(" ")
-        return np.concatenate([self.first.ids(units[:1]), self.later.ids(units[1:])])
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        vocab = {form: i for form, i in spec["model"]["vocab"].items() if form not in special}
+        merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"]]
+        made = [vocab[a + b] for a, b in merges]
+        if made != sorted(set(made)) or len(vocab) != 256 + len(made):
+            raise ValueError(f"{path}: ids do not stand in the order of merges")
+        byte = {symbol: b for b, symbol in enumerate(byte_symbols())}
+        ranks = {bytes(map(byte.__getitem__, form)): i for form, i in vocab.items()}
+        self.quick = Encoding(path, pat_str=PIECE, mergeable_ranks=ranks, special_tokens=special)
+        self.slow = Tokenizer.from_file(path)
 
     def encode(self, text: str) -> np.ndarray:
-        if not any(s in text for s in self.special):
-            return self._plain(text)
-        return np.concatenate([np.array([self.special[p]], np.int32) if p in self.special else self._plain(p) for p in self.specials.split(text)])
+        try:
+            return self.quick.encode_to_numpy(text, allowed_special="all").astype(np.int32)
+        except ValueError:
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int32)
 
 
 def codec(path: str) -> ByteBpe:
