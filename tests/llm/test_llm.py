@@ -144,3 +144,26 @@ def test_language_and_toxicity(spark):
     s = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     held = [x for x in s if x.held_out and x.doc_id != 999]
     assert len(s) == 401 and sum(x.predicted == int(x.doc_id % 5 == 0) for x in held) >= 0.95 * len(held)
+
+
+CLEAN = "Is and retitioning ouen the of, nterti thorreou ndernt. Is ndble whst the by for and threea. Ores the oredat the, anntly re.\nErtion on the it is onenerth edonre ontiatth edes erat as on oransh of shat erre rely thha eresinger. Attireheerstsh nd lytionat edhain of hetian a estiin ndeawhst. Theastou with erhesh. Oforlyhe the atedtion hablees thouou on of. Thlyatat of. Onthanen of ortionou orndhe. Thesrewh onwhtien."
+
+
+def test_bands_reject(spark):
+    rnd = random.Random(7)
+    base64 = " ".join("".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=76)) for _ in range(40))
+    few = " ".join(rnd.choices("the of and ther shat oran".split(), k=300))
+    rows = [(0, CLEAN, "en"), (1, base64, "en"), (2, few, "en"), (3, base64, "de"), (4, few, None)]
+    r = {x.doc_id: x for x in fertility_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(x.base_failed for x in r.values())
+    assert [r[i].kept for i in range(5)] == [True, False, False, False, False]
+    assert len({fertility_rules.BANDS[k] for k in ("en", "de", "fr", "es")}) == 4
+
+
+def test_band_fit():
+    rnd = np.random.default_rng(1)
+    n = rnd.integers(64, 4096, 4000)
+    bits = 1 + 0.5 * np.log2(n) + rnd.uniform(-0.1, 0.1, 4000)
+    b = fertility_rules.fit_band(rnd.uniform(2, 3, 4000), bits, n, 0.05)
+    assert (b.chars_low, b.chars_high, b.entropy_low, b.entropy_high) == pytest.approx((2, 3, -0.1, 0.1), abs=0.02)
+    assert np.polyval(b.curve, 10) == pytest.approx(6, abs=0.02)
