@@ -114,13 +114,13 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
+    """Logistic regression by Newton steps; weight: of how many rows each row stands."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (weight * (p - y)) + ridge * w
+        h = (x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -153,9 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from rows of docs whose doc_id has a label (0 or 1) in column toxic; others aren't used.
 
     Counts come from folds 0 and 1, the curve from fold 3; fold 2 is never learned from. Both take bounded
-    samples (COUNT_ROWS and CURVE_ROWS of each class). Repeated labels of a document: the highest counts.
+    samples (COUNT_ROWS and CURVE_ROWS of each class). A row of the curve stands for as many labelled rows as
+    its class has for each that was taken, so scores keep their scale where a bound cuts one class more than
+    the other. Repeated labels of a document: the highest counts.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    in_curve = {r["toxic"]: r["n"] for r in known.where(fold(F.col("doc_id")) == 3).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = _least(known.where(fold(F.col("doc_id")) < 2), COUNT_ROWS).unionByName(_least(known.where(fold(F.col("doc_id")) == 3), CURVE_ROWS))
     some = some.withColumn("curve", fold(F.col("doc_id")) == 3)
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("curve").alias("curve")), "toxic-rows")  # at most 2 * (COUNT_ROWS + CURVE_ROWS) ids
@@ -208,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if len(np.unique(y)) == 2:
         x = seen["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
         order = np.lexsort((*x.T, y))  # sums don't depend on the order of rows
-        model.weights = _fit_curve(x[order], y[order])
+        stands = np.array([max(1.0, in_curve.get(k, 0) / CURVE_ROWS) for k in (0, 1)])
+        model.weights = _fit_curve(x[order], y[order], stands[y[order].astype(int)])
     else:
         model.weights = np.array([-2.0, 0.0, 0.5, 0.5])
     return model

@@ -167,3 +167,20 @@ def test_band_fit():
     b = fertility_rules.fit_band(rnd.uniform(2, 3, 4000), bits, n, 0.05)
     assert (b.chars_low, b.chars_high, b.entropy_low, b.entropy_high) == pytest.approx((2, 3, -0.1, 0.1), abs=0.02)
     assert np.polyval(b.curve, 10) == pytest.approx(6, abs=0.02)
+
+
+def test_toxic_scores_keep_their_scale(spark, monkeypatch):
+    rnd = random.Random(4)
+    vocab = "the and of house river stone with water bridge garden".split()
+
+    def text(toxic):
+        return " ".join(rnd.choices(vocab, k=20) + ["idiot"] * (rnd.random() < (0.7 if toxic else 0.15)))
+
+    rows = [(i, text(i % 10 == 0) + f" t{i}", int(i % 10 == 0)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    mean = []
+    for cap in (6000, 100):  # 100 of some 900 ordinary rows of the curve, and of some 100 toxic ones
+        monkeypatch.setattr(toxicity, "CURVE_ROWS", cap)
+        s = toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", "toxic"))).toPandas()
+        mean.append(s.score.mean())
+    assert mean[0] == pytest.approx(0.1, abs=0.03) and mean[1] == pytest.approx(mean[0], abs=0.04)
