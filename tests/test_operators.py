@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,26 @@ def test_retrieval_takes_the_nearest(spark):
     private = spark.createDataFrame([(5, 0, [0.9, 0.1]), (5, 1, [0.1, 0.9])], "doc_id long, pos int, noisy array<double>")
     r = sorted((x.pos, x.pool_id) for x in retrieval.retrieve(private, pool, centroids, weights=retrieval.Weights(1, 0, 0, 0)).collect())
     assert r == [(0, 0), (1, 1)]
+
+
+def test_retrieval_without_prev_answers_every_row(spark):
+    """Against brute force, where some rows have members in their clusters and some have none."""
+    rnd = np.random.default_rng(3)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rnd.normal(size=(n, 4)))
+    centres, members, noisy = unit(8), unit(20), unit(40)
+    clusters = [i % 3 for i in range(20)]  # clusters 3 to 7 are empty
+    pool = spark.createDataFrame([(i, c, v.tolist()) for i, (c, v) in enumerate(zip(clusters, members))], "pool_id long, cluster int, embedding array<double>")
+    centroids = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(centres)], "cluster int, centroid array<double>")
+    private = spark.createDataFrame([(i // 5, i % 5, v.tolist()) for i, v in enumerate(noisy)], "doc_id long, pos int, noisy array<double>")
+    w, expected, stranded = retrieval.Weights(), {}, 0
+    for i, v in enumerate(noisy):
+        top = sorted(range(8), key=lambda c: (-round(float(centres[c] @ v), 9), c))[:2]
+        found = [j for c in top for j in range(20) if clusters[j] == c]
+        stranded += not found
+        prev, after = i % 5 > 0, i % 5 < 4
+        scale = 1 / (w.sim + w.cluster + w.prev * prev + w.next * after)
+        score = lambda j: round(scale * (w.sim * members[j] @ v + (w.next * members[j] @ noisy[i + 1] if after else 0) + w.cluster * (clusters[j] == top[0])), 9)  # noqa: B023, E731
+        best = max(found or range(20), key=score)
+        expected[i // 5, i % 5] = (best, pytest.approx(score(best), abs=1e-8))
+    got = {(r.doc_id, r.pos): (r.pool_id, r.score) for r in retrieval.retrieve_without_prev(private, pool, centroids, k=2).collect()}
+    assert 0 < stranded < 40 and got == expected
