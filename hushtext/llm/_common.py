@@ -122,6 +122,36 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Generations:
+    """Values of keys seen lately, in two generations of bounded size.
+
+    make: a bytes value for each of a list of keys. When the young generation is full it becomes the old one, and
+    what is asked for again comes back from there; so usual keys stay known, and rare ones go.
+    """
+
+    def __init__(self, make: Callable[[list], list[bytes]], limit: int):
+        self.make, self.limit = make, limit
+        self.young: dict = {}
+        self.old: dict = {}
+        self.size = 0
+
+    def learn(self, keys: set) -> dict:
+        """A dict that has all of keys until the next call."""
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        new, old, young = [], self.old, self.young
+        for k in keys.difference(young):
+            if (v := old.get(k)) is None:
+                new.append(k)
+            else:
+                young[k] = v
+                self.size += 150 + len(k) + len(v)  # a string, a bytes object and their place in the dict
+        for k, v in zip(new, self.make(new) if new else ()):
+            young[k] = v
+            self.size += 150 + len(k) + len(v)
+        return young
+
+
 class UnitMemo:
     """Ids of text units, memoised as offsets into one flat array.
 
