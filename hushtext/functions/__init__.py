@@ -1 +1 @@
-"""Column expressions: text, vectors, keyed noise. All run inside the JVM."""
+"""Column expressions: text, vectors, keyed noise. All but private noise run inside the JVM."""

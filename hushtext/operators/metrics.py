@@ -2,52 +2,52 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushtext.functions.text import ngrams, plain_tokens, tokens
-from hushtext.functions.vectors import dot, let, norm
+from hushtext.functions.vectors import dot, norm
+from hushtext.operators.embedding import hashed_rows
 from hushtext.operators.stemming import stem
 
 
-def overlap(hypothesis: Column, reference: Column) -> Column:
-    """How many items two lists share, each counted as often as the list with fewer has it."""
-    count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
-    both = lambda h, r: F.aggregate(F.array_intersect(h, r), F.lit(0), lambda s, x: s + F.least(count(h, x), count(r, x)))
-    return let(hypothesis, lambda h: let(reference, lambda r: both(h, r)))
+def shared(a: Counter, b: Counter) -> int:
+    """How many items two bags share, each counted as often as the bag with fewer has it."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    return sum(min(n, large[x]) for x, n in small.items() if x in large)
 
 
-def bleu(original: Column, sanitized: Column) -> Column:
-    """4-gram sentence BLEU; a count of no matches beyond single words is taken as 0.1. No words: 0."""
-
-    def score(hyp: Column, ref: Column) -> Column:
-        logs = F.lit(0.0)
-        for n in (1, 2, 3, 4):
-            matches = overlap(ngrams(hyp, n), ngrams(ref, n)).cast("double")
-            logs = logs + F.ln(F.when(matches == 0, 0.1).otherwise(matches) / F.greatest(F.size(hyp) - (n - 1), F.lit(1))) / 4
-        brevity = F.when(F.size(hyp) > F.size(ref), 1.0).otherwise(F.exp(1.0 - F.size(ref) / F.size(hyp)))
-        return F.when((F.size(hyp) == 0) | ~F.arrays_overlap(hyp, ref), 0.0).otherwise(brevity * F.exp(logs))
-
-    return let(tokens(sanitized), lambda hyp: let(tokens(original), lambda ref: score(hyp, ref)))
+def runs(words: list[str], n: int) -> Counter:
+    """How often each run of n words stands in words."""
+    return Counter(zip(*(words[i:] for i in range(n))))
 
 
-def f_measure(both: Column, n_hyp: Column, n_ref: Column) -> Column:
-    p, r = both / F.greatest(n_hyp, F.lit(1)), both / F.greatest(n_ref, F.lit(1))
-    return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+def bleu_of(original: str | None, sanitized: str | None) -> float:
+    """4-gram sentence BLEU over lower-case words between white space; a count of no matches beyond single words is
+    taken as 0.1. No words, or none shared: 0."""
+    hyp, ref = (sanitized or "").lower().split(), (original or "").lower().split()
+    logs = 0.0
+    for n in (1, 2, 3, 4):
+        matches = shared(runs(hyp, n), runs(ref, n))
+        if n == 1 and not matches:
+            return 0.0
+        logs += math.log((matches or 0.1) / max(len(hyp) - n + 1, 1)) / 4
+    return min(1.0, math.exp(1 - len(ref) / len(hyp))) * math.exp(logs)
 
 
-def rouge_n(original: Column, sanitized: Column, n: int) -> Column:
-    """F-measure of shared n-grams of unstemmed tokens, inside the JVM."""
-    hyp, ref = ngrams(plain_tokens(sanitized), n), ngrams(plain_tokens(original), n)
-    return f_measure(overlap(hyp, ref), F.size(hyp), F.size(ref))
+def bleu(original: Column, sanitized: Column) -> Column:
+    """bleu_of each pair of texts: linear in their words."""
+    return F.arrow_udf(lambda a, b: pa.array(map(bleu_of, a.to_pylist(), b.to_pylist()), pa.float64()), "double")(original, sanitized)
 
 
 def longest_common(a: list[str], b: list[str]) -> int:
@@ -62,28 +62,63 @@ def longest_common(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _rouge(original: pd.Series, sanitized: pd.Series) -> pd.DataFrame:
-    def words(t) -> list[str]:
-        found = re.sub("[^a-z0-9]+", " ", (t or "").lower()).split()
-        return [stem(w) if len(w) > 3 else w for w in found]
+@lru_cache(maxsize=100_000)
+def _stemmed(word: str) -> str:
+    return stem(word) if len(word) > 3 else word
+
 
-    def f(both: int, n: int, m: int) -> float:
-        p, r = both / max(n, 1), both / max(m, 1)
+def rouge_of(original: str | None, sanitized: str | None, stemmed: bool = True) -> dict[str, float]:
+    """F-measures rouge1, rouge2, rougeL over lower-case runs of a-z and 0-9, stemmed after Porter unless told not to."""
+    both = []
+    for t in (sanitized, original):
+        words = re.findall("[a-z0-9]+", (t or "").lower())
+        both.append([_stemmed(w) for w in words] if stemmed else words)
+    hyp, ref = both
+
+    def f(same: int, n: int, m: int) -> float:
+        p, r = same / max(n, 1), same / max(m, 1)
         return 2 * p * r / (p + r) if p + r else 0.0
 
-    out = []
-    for ref, hyp in zip(map(words, original), map(words, sanitized)):
-        row = []
-        for n in (1, 2):
-            a, b = (Counter(zip(*(x[i:] for i in range(n)))) for x in (hyp, ref))
-            row.append(f(sum((a & b).values()), sum(a.values()), sum(b.values())))
-        out.append([*row, f(longest_common(hyp, ref), len(hyp), len(ref))])
-    return pd.DataFrame(out, columns=["rouge1", "rouge2", "rougeL"])
+    out = {f"rouge{n}": f(shared(runs(hyp, n), runs(ref, n)), len(hyp) - n + 1, len(ref) - n + 1) for n in (1, 2)}
+    return out | {"rougeL": f(longest_common(hyp, ref), len(hyp), len(ref))}
+
+
+def rouge(original: Column, sanitized: Column, stemmed: bool = True) -> Column:
+    """rouge_of each pair of texts, as a struct."""
+    kind = pa.struct([(x, pa.float64()) for x in ("rouge1", "rouge2", "rougeL")])
+    run = F.arrow_udf(lambda a, b: pa.array([rouge_of(x, y, stemmed) for x, y in zip(a.to_pylist(), b.to_pylist())], kind), "struct<rouge1:double,rouge2:double,rougeL:double>")
+    return run(original, sanitized)
+
+
+def token_vectors(text: str | None, dim: int = 64, most: int = 512) -> tuple[list[str], np.ndarray]:
+    """Tokens and their vectors without a model: hashed runs of three characters of each, as far as most tokens."""
+    words = re.findall(r"\w+|[^\w\s]", (text or "").lower())[:most]
+    return words, hashed_rows([[f"^{w}$"[i : i + 3] for i in range(len(w))] for w in words], dim)
 
 
-def rouge(original: Column, sanitized: Column) -> Column:
-    """F-measures rouge1, rouge2, rougeL over tokens stemmed after Porter."""
-    return F.pandas_udf(_rouge, "struct<rouge1:double,rouge2:double,rougeL:double>")(original, sanitized)
+def greedy_match(original: np.ndarray, sanitized: np.ndarray) -> dict[str, float]:
+    """Precision, recall and F of matching each of two lists of unit vectors with its nearest in the other. An empty list scores 0."""
+    if not len(original) or not len(sanitized):
+        return {"precision": 0.0, "recall": 0.0, "f1": 0.0}
+    cosine = sanitized @ original.T
+    p, r = float(cosine.max(axis=1).mean()), float(cosine.max(axis=0).mean())
+    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r > 0 else 0.0}
+
+
+_MATCHED = pa.struct([(x, pa.float64()) for x in ("precision", "recall", "f1")])
+
+
+def bert_scores_of_texts(original: Column, sanitized: Column, load: Callable[[], Callable[[str], np.ndarray]] | None = None) -> Column:
+    """Precision, recall and F of greedy matching of token vectors. load makes a function from a text to vectors of its
+    tokens, once in a worker; without it token_vectors serves, whose quality isn't that of a model."""
+    held: list = []
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        if not held:
+            held.append(load() if load else lambda t: token_vectors(t)[1])
+        return pa.array([greedy_match(held[0](x), held[0](y)) for x, y in zip(a.to_pylist(), b.to_pylist())], _MATCHED)
+
+    return F.arrow_udf(run, "struct<precision:double,recall:double,f1:double>")(original, sanitized)
 
 
 def bert_scores(original: Column, sanitized: Column) -> Column:
@@ -100,6 +135,19 @@ def perplexity(rows: DataFrame, nll: str = "nll", n: str = "n_tokens") -> DataFr
     return rows.agg(F.exp(F.sum(F.col(nll) * F.col(n)) / F.sum(n)).alias("perplexity"))
 
 
+def word_losses(rows: DataFrame, text: str, corpus: DataFrame, corpus_text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, nll and n_tokens of each row without a model: losses under the word counts of a corpus, plus one each.
+
+    Stands in for a language model; its perplexities compare only with one another. key: one or more columns' struct.
+    """
+    words = lambda df, t: F.explode(F.filter(F.split(F.lower(F.col(t)), r"\s+"), lambda x: x != ""))
+    known = corpus.select(words(corpus, corpus_text).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    total, kinds = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    found = rows.select(key, words(rows, text).alias("w")).groupBy(key, "w").agg(F.count("*").alias("m")).join(known, "w", "left")
+    loss = -F.ln((F.coalesce("n", F.lit(0)) + 1.0) / (total + kinds + 1.0))
+    return found.groupBy(key).agg((F.sum(F.col("m") * loss) / F.sum("m")).alias("nll"), F.sum("m").alias("n_tokens"))
+
+
 def language_model_losses(rows: DataFrame, text: str, load: Callable[[], Callable[[list[str]], tuple]], batch: int = 8) -> DataFrame:
     """rows with nll and n_tokens from a language model that load makes in each task."""
 
@@ -135,4 +183,4 @@ def downstream_f1(train: DataFrame, test: DataFrame, features: str = "embedding"
 def text_metrics(pairs: DataFrame, original: str = "original", sanitized: str = "sanitized", by: list[str] | None = None) -> DataFrame:
     """BLEU mean and deviation, and mean ROUGE, in one pass over pairs of texts."""
     rows = pairs.select(*(by or []), bleu(F.col(original), F.col(sanitized)).alias("b"), rouge(F.col(original), F.col(sanitized)).alias("r"))
-    return rows.groupBy(*(by or [])).agg(F.avg("b").alias("bleu"), F.stddev_pop("b").alias("bleu_std"), F.avg("r.rouge1").alias("rouge1"), F.avg("r.rouge2").alias("rouge2"), F.avg("r.rougeL").alias("rougeL"))
+    return rows.groupBy(*(by or [])).agg(F.avg("b").alias("bleu_mean"), F.stddev_pop("b").alias("bleu_std"), F.avg("r.rouge1").alias("rouge1"), F.avg("r.rouge2").alias("rouge2"), F.avg("r.rougeL").alias("rougeL"))

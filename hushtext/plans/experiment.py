@@ -5,6 +5,10 @@ from __future__ import annotations
 import argparse
 import hashlib
 import json
+import logging
+import secrets
+import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +17,12 @@ from pyspark.sql import functions as F
 from hushtext import sources
 from hushtext.functions.vectors import dot
 from hushtext.operators import documents, embedding, metrics, retrieval
+from hushtext.operators.storage import stored
 from hushtext.plans.sanitize import Settings, sanitize
 
+log = logging.getLogger(__name__)
+RESULTS = "epsilon double, method string, metric string, value double, run_id string"
+
 
 @dataclass(frozen=True)
 class Config:
@@ -34,6 +42,9 @@ class Config:
     model: str = "hashing"
     seed: int = 42
     max_sentences: int = 0
+    skip_perplexity: bool = False
+    skip_bertscore: bool = False
+    skip_downstream: bool = False
 
     @property
     def run_id(self) -> str:
@@ -61,55 +72,112 @@ def finished(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """Budgets of a run whose results are kept; none if the table isn't there. The baseline has a null budget."""
     if not exists(spark, path):
         return spark.createDataFrame([], "epsilon double")
-    return spark.read.schema("epsilon double, method string, metric string, value double, run_id string").parquet(path).where(F.col("run_id") == run_id).select("epsilon").distinct()
+    return spark.read.schema(RESULTS).parquet(path).where(F.col("run_id") == run_id).select("epsilon").distinct()
 
 
 def remaining(wanted: DataFrame, done: DataFrame) -> DataFrame:
     return wanted.join(done, wanted.epsilon.eqNullSafe(done.epsilon), "left_anti")
 
 
-def evaluate(docs: DataFrame, sanitized: DataFrame, dim: int) -> DataFrame:
-    """epsilon, metric, value: cosine, BLEU and ROUGE of sanitized against docs."""
-    pairs = sanitized.join(docs.select("doc_id", F.col("text").alias("original")), "doc_id")
-    cosine = pairs.groupBy("epsilon").agg(F.avg(dot(embedding.hash_embedding(F.col("original"), dim), embedding.hash_embedding(F.col("sanitized"), dim))).alias("cosine"))
-    wide = metrics.text_metrics(pairs, "original", "sanitized", ["epsilon"]).join(cosine, "epsilon")
-    names = [c for c in wide.columns if c != "epsilon"]
-    return wide.unpivot(["epsilon"], names, "metric", "value")
-
-
-def run(spark: SparkSession, docs: DataFrame, config: Config, epsilons: list[float], output: str, key: str) -> DataFrame:
-    """Results of all budgets: epsilon, method, metric, value, run_id; those that are kept aren't made again."""
-    results = f"{output}/results"
-    train = docs.where("split = 'train'") if "split" in docs.columns else docs
-    found = cached(spark, cache_path(output, config, "sentences"), lambda: embedding.embed(documents.split_sentences(train, config.max_sentences), "sentence", dim=config.dim))
-    split = cached(spark, cache_path(output, config, "split"), lambda: documents.public_split(train, config.seed, config.public_ratio, config.max_public, config.max_private))
-    pool = documents.public_pool(found, split)
-    private = documents.private_sentences(train, found, split)
-    if config.pca_dim:
-        project = retrieval.fit_pca(pool, "embedding", config.pca_dim)
-        pool, private = (x.withColumn("embedding", project(F.col("embedding"))) for x in (pool, private))
-    pool, centroids = retrieval.fit_clusters(pool, k=config.n_clusters, seed=config.seed)
-    wanted = spark.createDataFrame([(float(e),) for e in epsilons], "epsilon double")
-    todo = sorted(r[0] for r in remaining(wanted, finished(spark, results, config.run_id)).collect())  # a row a budget
-    if todo:
+def evaluate(pairs: DataFrame, config: Config, corpus: DataFrame, test: DataFrame | None = None, token_vectors: Callable | None = None, losses: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, float]:
+    """Metrics by name. pairs: doc_id, original, sanitized, a, b (their embeddings), label, a row a private document.
+
+    token_vectors: what bert_scores_of_texts loads. losses: from doc_id, text to doc_id, nll, n_tokens; without it,
+    losses under the words of corpus (text). The downstream classifier learns b and label of pairs, and is judged
+    on embedding and label of test.
+    """
+    out = pairs.agg(F.avg(dot(F.col("a"), F.col("b"))).alias("cosine_similarity")).first().asDict()
+    out |= metrics.text_metrics(pairs).first().asDict()
+    if not config.skip_bertscore:
+        score = metrics.bert_scores_of_texts(F.col("original"), F.col("sanitized"), token_vectors)
+        out |= pairs.select(score.alias("s")).agg(*[F.avg(f"s.{x}").alias(f"bertscore_{x}") for x in ("precision", "recall", "f1")]).first().asDict()
+    if not config.skip_perplexity:
+        texts = pairs.select("doc_id", F.col("sanitized").alias("text"))
+        out |= metrics.perplexity(losses(texts) if losses else metrics.word_losses(texts, "text", corpus)).first().asDict()
+    if not config.skip_downstream and test is not None:
+        known = pairs.where("label is not null").select(F.col("b").alias("embedding"), "label")
+        if known.select("label").distinct().limit(2).count() == 2:
+            out |= metrics.downstream_f1(known, test.where("label is not null")).first().asDict()
+        else:
+            log.warning("fewer than two labels: no downstream classifier")
+    return {k: float(v) for k, v in out.items() if v is not None}
+
+
+def run(spark: SparkSession, docs: DataFrame, config: Config, epsilons: list[float], output: str, key: str, token_vectors: Callable | None = None, losses: Callable | None = None) -> DataFrame:
+    """Results of the baseline (private texts as they are, null epsilon) and of all budgets: epsilon, method, metric,
+    value, run_id. Each is kept once it is made, and those that are kept aren't made again.
+
+    docs: split (train and test; without it all is train), doc_id, text, label (if there is one).
+    """
+    results, load = f"{output}/results", embedding.loader(config.model)
+    docs = docs if "label" in docs.columns else docs.withColumn("label", F.lit(None).cast("int"))
+    train, test = (docs.where(F.col("split") == x) for x in ("train", "test")) if "split" in docs.columns else (docs, None)
+
+    def embedded(rows: DataFrame, column: str = "text", into: str = "embedding") -> DataFrame:
+        return embedding.embed(rows, column, load, config.dim, into=into)
+
+    def held(part: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return cached(spark, cache_path(output, config, part), make)
+
+    found = held("sentences", lambda: embedded(documents.split_sentences(train, config.max_sentences), "sentence"))
+    split = held("split", lambda: documents.public_split(train, config.seed, config.public_ratio, config.max_public, config.max_private))
+    # only private documents are compared; test documents judge the downstream classifier
+    own = held("private", lambda: embedded(train.join(split.where("not is_public").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "label")))
+    judged = None
+    if test is not None and not config.skip_downstream:
+        judged = held("test", lambda: embedded(test.select("doc_id", "text", "label")).select("doc_id", "label", "embedding"))
+    corpus = train.join(split.where("is_public").select("doc_id"), "doc_id", "left_semi")
+    n_docs = own.count()
+    log.info("%d private documents", n_docs)
+
+    def keep(epsilon: float | None, method: str, sanitized: DataFrame, took: float | None) -> None:
+        pairs = own.select("doc_id", F.col("text").alias("original"), F.col("embedding").alias("a"), "label").join(sanitized, "doc_id")
+        pairs = stored(pairs, "pairs")
+        if (n := pairs.count()) != n_docs:
+            raise ValueError(f"{n} sanitized documents for {n_docs} private ones")
+        values = evaluate(pairs, config, corpus, test=judged, token_vectors=token_vectors, losses=losses) if n else {}
+        if took is not None:
+            values |= {"seconds": took} | ({"seconds_per_document": took / n} if n else {})
+        log.info("%s %s: %s", method, epsilon, values)
+        rows = [(epsilon, method, k, v, config.run_id) for k, v in values.items()]
+        spark.createDataFrame(rows, RESULTS).coalesce(1).write.mode("append").partitionBy("run_id").parquet(results)
+
+    wanted = spark.createDataFrame([(None,), *((float(e),) for e in epsilons)], "epsilon double")
+    todo = [r[0] for r in remaining(wanted, finished(spark, results, config.run_id)).collect()]  # a row a budget
+    if None in todo:
+        keep(None, "baseline", own.select("doc_id", F.col("text").alias("sanitized"), F.col("embedding").alias("b")), None)
+    if budgets := sorted(e for e in todo if e is not None):
+        pool, private = documents.public_pool(found, split), documents.private_sentences(train, found, split)
+        if config.pca_dim:
+            project = retrieval.fit_pca(pool, "embedding", config.pca_dim)
+            log.info("explained variance: %.4f", project.explained)
+            pool, private = (x.withColumn("embedding", project(F.col("embedding"))) for x in (pool, private))
+        pool, centroids = retrieval.fit_clusters(pool, k=config.n_clusters, seed=config.seed)
         settings = Settings(key, config.delta, config.top_k_clusters, mode=config.composition_mode, denoise=config.chained_denoising)
-        made = evaluate(train, sanitize(train, private, pool, centroids, todo, settings), config.dim)
-        made.select("epsilon", F.lit("retrieval").alias("method"), "metric", "value", F.lit(config.run_id).alias("run_id")).write.mode("append").partitionBy("run_id").parquet(results)
-    return spark.read.schema("epsilon double, method string, metric string, value double, run_id string").parquet(results).where(F.col("run_id") == config.run_id)
+    for e in budgets:
+        start = time.time()
+        made = stored(sanitize(train, private, pool, centroids, [e], settings), "sanitized")
+        keep(e, "retrieval", embedded(made.select("doc_id", "sanitized"), "sanitized", "b"), time.time() - start)
+    return spark.read.schema(RESULTS).parquet(results).where(F.col("run_id") == config.run_id)
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--root", required=True, help="folder or files of the dataset")
-    p.add_argument("--key", required=True, help="secret key of the noise")
+    p.add_argument("--key_file", help="file that holds the secret key of the noise; a fresh key without it")
     p.add_argument("--output_dir", default="results")
     p.add_argument("--epsilons", type=float, nargs="+", default=[100.0, 250.0, 500.0, 1000.0])
     for name, value in asdict(Config()).items():
         p.add_argument(f"--{name}", **({"action": "store_true"} if isinstance(value, bool) else {"type": type(value), "default": value}))
     a = vars(p.parse_args(argv))
+    logging.basicConfig(level=logging.INFO)
     config = Config(**{k: a[k] for k in asdict(Config())})
+    key = secrets.token_hex(32)
+    if a["key_file"]:
+        with open(a["key_file"], encoding="utf-8") as f:
+            key = f.read().strip()
     spark = SparkSession.builder.appName("hushtext").getOrCreate()
-    run(spark, sources.load(spark, config.dataset, a["root"]), config, a["epsilons"], a["output_dir"], a["key"]).orderBy("epsilon", "metric").show(200, False)
+    run(spark, sources.load(spark, config.dataset, a["root"]), config, a["epsilons"], a["output_dir"], key).orderBy("epsilon", "metric").show(200, False)
 
 
 if __name__ == "__main__":

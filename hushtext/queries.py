@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushtext import sources
@@ -126,7 +126,8 @@ def top_clusters(spark, d):
 def candidate_pool(spark, d):
     v = _t(spark, d, "embeddings")
     pool = v.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("m"), F.sum("vec_id").alias("s"))
-    return retrieval.candidates(retrieval.top_clusters(v, ["vec_id"], "embedding", _centroids(spark, d)), pool).groupBy("vec_id").agg(F.sum("m").alias("n"), F.sum("s").alias("ids"))
+    probes = retrieval.top_clusters(v, ["vec_id"], "embedding", _centroids(spark, d), filled=retrieval.filled_clusters(pool))
+    return retrieval.candidates(probes, pool).groupBy("vec_id").agg(F.sum("m").alias("n"), F.sum("s").alias("ids"))
 
 
 @query("SELECT label AS cluster, array_to_string(list(vec_id ORDER BY vec_id), ',') AS members FROM embeddings GROUP BY label")
@@ -157,11 +158,24 @@ def chain_denoise(spark, d):
     return out.select("vec_id", F.posexplode(vectors.rounded(F.col("embedding"))).alias("dim", "value"))
 
 
-@query()
+_RETRIEVED = f"""WITH {CENT},
+q AS (SELECT vec_id, vec_id // 10 AS doc_id, (vec_id % 10)::INT AS pos, embedding::DOUBLE[] AS e FROM embeddings WHERE label >= 5),
+n AS (SELECT *, lead(e) OVER w AS nxt, lag(pos) OVER w IS NOT NULL AS prev FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+s AS (SELECT *, 1.0 / (0.6 + CASE WHEN prev THEN 0.2 ELSE 0 END + CASE WHEN nxt IS NOT NULL THEN 0.2 ELSE 0 END) AS scale FROM n),
+top AS (SELECT doc_id, pos, cluster, row_number() OVER (PARTITION BY doc_id, pos ORDER BY round(list_dot_product(e, centroid), 9) DESC, cluster) AS rk FROM q, cent),
+pool AS (SELECT vec_id AS pool_id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 5),
+near AS (SELECT doc_id, pos, pool_id, v, rk, rk = 1 AS bonus FROM top JOIN pool USING (cluster) WHERE rk <= 3),
+cand AS (SELECT * FROM near UNION ALL SELECT doc_id, pos, pool_id, v, 0, false FROM s, pool WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM near)),
+scored AS (SELECT doc_id, pos, pool_id, rk, round(scale * (0.5 * list_dot_product(v, e) + CASE WHEN nxt IS NULL THEN 0 ELSE 0.2 * list_dot_product(v, nxt) END + CASE WHEN bonus THEN 0.1 ELSE 0 END), 9) AS score FROM cand JOIN s USING (doc_id, pos))
+SELECT doc_id, pos, pool_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, rk, pool_id) AS r FROM scored) WHERE r = 1"""
+
+
+@query(_RETRIEVED)
 def retrieve_no_prev(spark, d):
     v = _vectors(spark, d)
     pool = v.where("label < 5").select(F.col("vec_id").alias("pool_id"), F.col("label").alias("cluster"), "embedding")
-    return retrieval.retrieve_without_prev(v.where("label >= 5").select("doc_id", "pos", vectors.doubles(F.col("embedding")).alias("noisy")), pool, _centroids(spark, d))
+    found = retrieval.retrieve_without_prev(v.where("label >= 5").select("doc_id", "pos", vectors.doubles(F.col("embedding")).alias("noisy")), pool, _centroids(spark, d))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def _pool(spark, d):
@@ -227,9 +241,32 @@ def bleu_rouge(spark, d):
     return metrics.text_metrics(_pairs(spark, d))
 
 
-@query("WITH p AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS r, list_filter(string_split(regexp_replace(lower(regexp_replace(text, ' (the|le|la|de|der|die) ', ' a ', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS h FROM benchmark), c AS (SELECT item_id, w, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b FROM (SELECT item_id, unnest(r) AS w, 0 AS k FROM p UNION ALL SELECT item_id, unnest(h), 1 FROM p) GROUP BY item_id, w) SELECT p.item_id, round(2.0 * (SELECT sum(least(a, b)) FROM c WHERE c.item_id = p.item_id) / (len(r) + len(h)), 6) AS f FROM p")
+# tokens of both sides and, by n, how often each run stands on either side
+_WORDS = {
+    "plain": "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')",
+    "blank": "list_filter(string_split_regex(lower({}), '\\s+'), lambda x: x <> '')",
+}
+
+
+def _shared_runs(kind: str, most: int) -> str:
+    words = _WORDS[kind]
+    runs = "unnest(list_transform(range(1, greatest(len({0}) - n + 2, 1)), lambda i: array_to_string({0}[i:i + n - 1], ' ')))"
+    return f"""p AS (SELECT item_id, {words.format("text")} AS r, {words.format("regexp_replace(text, ' (the|le|la|de|der|die) ', ' a ', 'g')")} AS h FROM benchmark),
+g AS (SELECT item_id, n, w, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b FROM (
+  SELECT item_id, n, {runs.format("r")} AS w, 0 AS k FROM p, range(1, {most + 1}) t(n) UNION ALL SELECT item_id, n, {runs.format("h")}, 1 FROM p, range(1, {most + 1}) t(n)) GROUP BY ALL),
+m AS (SELECT p.item_id, n, len(r) AS nr, len(h) AS nh, coalesce((SELECT sum(least(a, b)) FROM g WHERE g.item_id = p.item_id AND g.n = t.n), 0) AS same_n FROM p, range(1, {most + 1}) t(n))"""
+
+
+@query(f"WITH {_shared_runs('plain', 2)} SELECT item_id, round(2.0 * max(same_n) FILTER (n = 1) / greatest(max(nr + nh), 1), 6) AS f1, round(2.0 * max(same_n) FILTER (n = 2) / greatest(max(nr + nh) - 2, 1), 6) AS f2 FROM m GROUP BY item_id")
 def rouge_1(spark, d):
-    return _pairs(spark, d).select("item_id", F.round(metrics.rouge_n(F.col("original"), F.col("sanitized"), 1), 6).alias("f"))
+    """ROUGE-1 and ROUGE-2 of words as they stand; the stemmer has no SQL."""
+    r = _pairs(spark, d).select("item_id", metrics.rouge(F.col("original"), F.col("sanitized"), stemmed=False).alias("r"))
+    return r.select("item_id", F.round("r.rouge1", 6).alias("f1"), F.round("r.rouge2", 6).alias("f2"))
+
+
+@query(f"WITH {_shared_runs('blank', 4)} SELECT item_id, round(CASE WHEN max(same_n) FILTER (n = 1) = 0 THEN 0 ELSE least(1.0, exp(1 - max(nr)::DOUBLE / max(nh))) * exp(sum(ln((CASE WHEN same_n = 0 THEN 0.1 ELSE same_n END)::DOUBLE / greatest(nh - n + 1, 1))) / 4) END, 6) AS bleu FROM m GROUP BY item_id")
+def bleu(spark, d):
+    return _pairs(spark, d).select("item_id", F.round(metrics.bleu(F.col("original"), F.col("sanitized")), 6).alias("bleu"))
 
 
 @query("WITH k AS (SELECT unnest([0, 1]) AS k), f AS (SELECT k, (SELECT count(*) FROM labels WHERE quality = k AND toxic = k) AS hit, (SELECT count(*) FROM labels WHERE quality = k) + (SELECT count(*) FROM labels WHERE toxic = k) AS m FROM k) SELECT round(avg(2.0 * hit / m), 6) AS f1_macro, round(2.0 * sum(hit) / sum(m), 6) AS f1_micro FROM f")
@@ -248,7 +285,7 @@ def perplexity_agg(spark, d):
     return metrics.perplexity(_t(spark, d, "documents").select(((1 + F.col("doc_id") % 7) / 3.0).alias("nll"), F.col("n_chars").alias("n_tokens"))).select(F.round("perplexity", 6).alias("perplexity"))
 
 
-@query()
+@query("WITH v AS (SELECT vec_id, vec_id // 10 AS doc, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT a.doc AS doc_id, a.vec_id AS x, b.vec_id AS y, list_dot_product(a.e, b.e) / greatest(sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 1e-12) AS s FROM v a JOIN v b ON b.doc = a.doc + 1), r AS (SELECT doc_id, avg(s) AS r FROM (SELECT doc_id, x, max(s) AS s FROM c GROUP BY ALL) GROUP BY doc_id), p AS (SELECT doc_id, avg(s) AS p FROM (SELECT doc_id, y, max(s) AS s FROM c GROUP BY ALL) GROUP BY doc_id) SELECT doc_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM p JOIN r USING (doc_id)")
 def bertscore_match(spark, d):
     v = _vectors(spark, d).groupBy("doc_id").agg(F.collect_list("embedding").alias("e"))
     pairs = v.join(v.select((F.col("doc_id") - 1).alias("doc_id"), F.col("e").alias("f")), "doc_id")

@@ -21,39 +21,43 @@ def binarized(rating: Column, least: float = 5) -> Column:
     return F.when(rating >= least, 1).otherwise(0)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("doc_id", F.monotonically_increasing_id())
-
-
 def head(docs: DataFrame, most: int) -> DataFrame:
-    """The first most documents of each split by doc_id; all for 0."""
-    if not most:
-        return docs
-    # two steps, so that no task ranks more than a share of a split
-    part = docs.withColumn("__part", F.spark_partition_id())
-    near = part.withColumn("__r", F.row_number().over(Window.partitionBy("split", "__part").orderBy("doc_id"))).where(F.col("__r") <= most)
-    return near.withColumn("__r", F.row_number().over(Window.partitionBy("split").orderBy("doc_id"))).where(F.col("__r") <= most).drop("__part", "__r")
+    """The first most documents of each split, whose doc_ids count from 0; all for 0."""
+    return docs.where(F.col("doc_id") < most) if most else docs
 
 
 def read_csv_pair(spark: SparkSession, train: str, test: str) -> DataFrame:
-    """Two CSV files with a header and columns text and label; label_raw keeps labels that are no numbers."""
+    """Two CSV files with a header and columns text and label; label_raw keeps labels that are no numbers.
+
+    Quoted fields may span lines, so a file is one partition, and doc_id its row's number.
+    """
     both = None
     for split, path in (("train", train), ("test", test)):
-        rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-        rows = _numbered(rows).select(F.lit(split).alias("split"), "doc_id", "text", int_label(F.col("label")).alias("label"), F.col("label").alias("label_raw"))
+        rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8").withColumn("doc_id", F.monotonically_increasing_id())
+        rows = rows.select(F.lit(split).alias("split"), "doc_id", "text", int_label(F.col("label")).alias("label"), F.col("label").alias("label_raw"))
         both = rows if both is None else both.unionByName(rows)
     return both
 
 
 def read_parquet_snapshot(spark: SparkSession, root: str, text: str = "text", label: str = "label", heads: dict | None = None) -> DataFrame:
-    """Parquet files named split-*.parquet under a folder: the split is the name up to the first -."""
+    """Parquet files named split-*.parquet under a folder: the split is the name up to the first -.
+
+    doc_id is a row's place in its split, by file name and row: the same however the files are dealt to tasks.
+    heads: rows of each split that are taken; splits that it doesn't name are left out, 0 is all.
+    """
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    rows = spark.read.parquet(root).select(F.regexp_extract(name, r"^([^-.]+)", 1).alias("split"), F.col(text).alias("text"), F.col(label).alias("label"))
-    rows = _numbered(rows).where(F.col("split").isin("train", "test"))
+    rows = spark.read.parquet(root).select(F.col(text).alias("text"), F.col(label).alias("label"), F.regexp_extract(name, r"^([^-.]+)", 1).alias("split"), name.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    rows = rows.where(F.col("split").isin("train", "test"))
+    files = rows.groupBy("split", "__file").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("split").orderBy("__file")
+    files = files.select("split", "__file", (F.sum("n").over(before) - F.col("n")).alias("__base"))
+    rows = rows.join(F.broadcast(files), ["split", "__file"]).select("split", (F.col("__base") + F.col("__row")).alias("doc_id"), "text", "label")  # a row a file
     if not heads:
         return rows
-    parts = [head(rows.where(F.col("split") == s), n) for s, n in heads.items()]
-    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+    wanted = F.lit(False)
+    for split, most in heads.items():
+        wanted = wanted | ((F.col("split") == split) & (F.lit(not most) | (F.col("doc_id") < most)))
+    return rows.where(wanted)
 
 
 def snapshot_folder(repo: str, home: str, config: str = "plain_text") -> str | None:

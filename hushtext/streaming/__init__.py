@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
+from hushtext.operators.retrieval import Prepared
 from hushtext.plans.sanitize import Settings, sanitize_paired
 
 
-def sanitize_stream(private: DataFrame, pool: DataFrame, centroids: DataFrame, epsilons: list[float], settings: Settings, path: str, checkpoint: str):
+def sanitize_stream(private: DataFrame, pool: DataFrame, centroids: DataFrame, epsilons: list[float], settings: Settings, path: str, checkpoint: str) -> StreamingQuery:
     """Write epsilon, doc_id, pos, original, replacement of a stream of sentences, a micro-batch at a time.
 
-    A document's sentences (doc_id, pos, sentence, embedding) must come in one micro-batch. Returns the query.
+    A document's sentences (doc_id, pos, sentence, embedding) must come in one micro-batch. The pool is made
+    ready once, for all of them. Returns the query.
     """
+    ready = Prepared(pool, centroids, settings.top_clusters, settings.weights)
 
     def write(batch: DataFrame, number: int) -> None:
-        made = sanitize_paired(batch, pool, centroids, epsilons, settings)
+        made = sanitize_paired(batch, pool, centroids, epsilons, settings, ready)
         made.write.mode("overwrite").parquet(f"{path}/batch={number}")  # the same batch again replaces itself
 
     return private.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

@@ -1,11 +1,15 @@
 import math
+import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hushtext.functions import text, vectors
-from hushtext.operators import metrics, privacy, retrieval
+from hushtext import sources
+from hushtext.functions import noise, text, vectors
+from hushtext.operators import documents, embedding, metrics, privacy, retrieval
 from hushtext.operators.stemming import stem
 
 SENTENCES = {
@@ -58,7 +62,7 @@ def test_exponential_mechanism(spark):
 def test_text_metrics_of_equal_texts(spark):
     df = spark.createDataFrame([("the cats were running fast", "the cats were running fast")], "original string, sanitized string")
     r = metrics.text_metrics(df).first()
-    assert r.bleu == pytest.approx(1) and r.rouge1 == r.rouge2 == r.rougeL == 1
+    assert r.bleu_mean == pytest.approx(1) and r.rouge1 == r.rouge2 == r.rougeL == 1
 
 
 def test_longest_common():
@@ -98,3 +102,185 @@ def test_retrieval_without_prev_answers_every_row(spark):
         expected[i // 5, i % 5] = (best, pytest.approx(score(best), abs=1e-8))
     got = {(r.doc_id, r.pos): (r.pool_id, r.score) for r in retrieval.retrieve_without_prev(private, pool, centroids, k=2).collect()}
     assert 0 < stranded < 40 and got == expected
+
+
+def _blobs(seed, n, dim=4):
+    v = np.random.default_rng(seed).normal(size=(n, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _reference_choices(docs, members, clusters, centres, k, w):
+    """The definition, candidate by candidate."""
+    out = {}
+    for doc, noisy in docs.items():
+        prev = None
+        for i, v in enumerate(noisy):
+            top = sorted(range(len(centres)), key=lambda c: (-round(float(centres[c] @ v), 9), c))[: k or None]
+            found = [j for c in top for j in range(len(members)) if clusters[j] == c]
+            after = i + 1 < len(noisy)
+            total = w.sim + w.cluster + w.prev * (prev is not None) + w.next * after
+
+            def score(j):
+                s = w.sim * members[j] @ v + (w.prev * members[j] @ prev if prev is not None else 0) + (w.next * members[j] @ noisy[i + 1] if after else 0)
+                return round(float((s + w.cluster * (clusters[j] == top[0])) / total), 9)
+
+            best = max(found or range(len(members)), key=score)
+            out[doc, i], prev = (best, pytest.approx(score(best), abs=1e-8)), members[best]
+    return out
+
+
+@pytest.mark.parametrize("k", [0, 2])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_retrieval_against_brute_force(spark, monkeypatch, broadcast, k):
+    """Both ways, with repeated vectors, empty clusters, and rows whose clusters are all empty."""
+    if not broadcast:
+        monkeypatch.setattr(retrieval, "POOL_BYTES", 0)
+        monkeypatch.setattr(retrieval, "BLOCK_ROWS", 7)
+        monkeypatch.setattr(retrieval, "THINNERS", 3)
+    centres, members, noisy = _blobs(1, 8), _blobs(2, 60), _blobs(3, 60)
+    members[30:40] = members[:10]
+    clusters = [i % 3 for i in range(60)]  # clusters 3 to 7 are empty
+    docs = {d: noisy[a:b] for d, (a, b) in enumerate([(0, 1), (1, 3), (3, 20), (20, 60)])}
+    pool = spark.createDataFrame([(i, c, v.tolist()) for i, (c, v) in enumerate(zip(clusters, members))], "pool_id long, cluster int, embedding array<double>")
+    centroids = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(centres)], "cluster int, centroid array<double>")
+    private = spark.createDataFrame([(d, i, v.tolist()) for d, x in docs.items() for i, v in enumerate(x)], "doc_id long, pos int, noisy array<double>")
+    got = {(r.doc_id, r.pos): (r.pool_id, r.score) for r in retrieval.retrieve(private, pool, centroids, k=k).collect()}
+    assert got == _reference_choices(docs, members, clusters, centres, k, retrieval.Weights())
+
+
+def test_score_weights(spark):
+    """The effective weights of a single, first, middle and last sentence."""
+    rows = spark.createDataFrame([(False, False), (False, True), (True, True), (True, False)], "p boolean, n boolean")
+    scale = [r[0] for r in rows.select(retrieval.Weights().scale(F.col("p"), F.col("n"))).collect()]
+    assert [round(0.5 * x, 4) for x in scale] == [0.8333, 0.625, 0.5, 0.625] and [round(0.1 * x, 4) for x in scale] == [0.1667, 0.125, 0.1, 0.125]
+
+
+def test_centroids_by_portions(spark, monkeypatch):
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_blobs(5, 9))], "q long, v array<double>")
+    centroids = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_blobs(6, 23))], "cluster int, centroid array<double>")
+    whole = sorted(retrieval.top_clusters(queries, ["q"], "v", centroids, 4).collect())
+    monkeypatch.setattr(retrieval, "CENTROIDS_AT_ONCE", 5)
+    assert sorted(retrieval.top_clusters(queries, ["q"], "v", centroids, 4).collect()) == whole and len(whole) == 36
+
+
+def test_long_white_space_and_long_pairs(spark):
+    start = time.time()
+    df = spark.createDataFrame([("One here. " + " " * 1_000_000 + "Two here." + "\t" * 1_000_000,)], "t string")
+    assert df.select(text.sentences(F.col("t")).alias("s")).first().s == ["One here.", "Two here."]
+    rnd = random.Random(1)
+    a = " ".join(f"w{rnd.randrange(3000)}" for _ in range(20_000))
+    r = metrics.text_metrics(spark.createDataFrame([(a, a[: len(a) // 2])], "original string, sanitized string")).first()
+    assert 0 < r.bleu_mean < 1 and r.rouge1 == pytest.approx(2 / 3, abs=0.01)
+    assert time.time() - start < 60
+
+
+def test_bleu_cases():
+    assert metrics.bleu_of("a b", "") == 0 and metrics.bleu_of(None, "x") == 0 and metrics.bleu_of("a b c d", "x y") == 0
+    assert metrics.bleu_of("the cat sat on the mat", "the cat sat on a mat") == pytest.approx((5 / 6 * 3 / 5 * 2 / 4 * 1 / 3) ** 0.25)
+    assert metrics.bleu_of("a b", "a b") == pytest.approx((1 * 1 * 0.1 * 0.1) ** 0.25)
+
+
+def test_rouge_cases():
+    def brute(h, r, n):
+        a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (h, r))
+        same = sum((a & b).values())
+        return 2 * same / max(1, sum(a.values()) + sum(b.values()))
+
+    rnd = random.Random(2)
+    for _ in range(50):
+        h, r = (rnd.choices("abcde", k=rnd.randrange(9)) for _ in range(2))
+        got = metrics.rouge_of(" ".join(r), " ".join(h))
+        assert got["rouge1"] == pytest.approx(brute(h, r, 1)) and got["rouge2"] == pytest.approx(brute(h, r, 2))
+
+
+def test_private_noise(spark):
+    rows = spark.createDataFrame([(i, [0.0] * (5 if i % 2 else 16)) for i in range(2000)] + [(-1, [])], "i int, v array<double>")
+    made = rows.select("i", noise.private_noise(F.col("v"), F.lit(2.0), "key", F.col("i")).alias("v"))
+    one = {r.i: r.v for r in made.collect()}
+    assert one == {r.i: r.v for r in made.repartition(7).collect()} and one[-1] == [] and {len(v) for v in one.values()} == {0, 5, 16}
+    flat = np.concatenate(list(one.values()))
+    assert abs(flat.mean()) < 0.05 and flat.std() == pytest.approx(2, abs=0.05) and len(np.unique(flat)) == len(flat)
+    other = rows.select(noise.private_noise(F.col("v"), F.lit(2.0), "other", F.col("i")).alias("v")).first().v
+    assert other != one[0]
+
+
+def test_pca_and_clusters(spark):
+    """Against an eigen solution; each row has the nearest of all centres."""
+    v = _blobs(7, 200, 6) * np.array([3, 2, 1, 0.5, 0.2, 0.1])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i int, embedding array<double>")
+    project = retrieval.fit_pca(df, "embedding", 3)
+    got = np.array([r.p for r in df.orderBy("i").select(project(F.col("embedding"), False).alias("p")).collect()])
+    values, parts = np.linalg.eigh(np.cov(v.T))
+    expected = (v - v.mean(axis=0)) @ parts[:, ::-1][:, :3]
+    assert np.allclose(np.abs(got), np.abs(expected), atol=1e-6) and project.explained == pytest.approx(values[::-1][:3].sum() / values.sum())
+    pool, centroids = retrieval.fit_clusters(df, k=5)
+    labels = np.array([r.cluster for r in pool.orderBy("i").collect()])
+    centres = np.array([v[labels == c].mean(axis=0) for c in range(5)])
+    assert (np.argmin(((v[:, None] - centres) ** 2).sum(axis=2), axis=1) == labels).mean() > 0.97
+    assert all(np.linalg.norm(r.centroid) == pytest.approx(1) for r in centroids.collect())
+    assert retrieval.fit_clusters(df.limit(3), k=9)[1].count() <= 3 and retrieval.fit_clusters(df.limit(1))[1].count() == 1
+
+
+def test_readers(spark, tmp_path):
+    folder = tmp_path / "hub" / "datasets--a--b" / "snapshots" / "2" / "plain_text"
+    for split, n in (("train", 30), ("test", 20), ("unsupervised", 5)):
+        rows = spark.createDataFrame([(f"{split} {i}", i % 4, float(i % 10)) for i in range(n)], "text string, label int, rating double").withColumn("content", F.col("text")).withColumn("review", F.col("text"))
+        rows.repartition(2).write.parquet(str(tmp_path / "raw" / split))
+        folder.mkdir(parents=True, exist_ok=True)
+        for i, f in enumerate(sorted((tmp_path / "raw" / split).glob("*.parquet"))):
+            f.rename(folder / f"{split}-{i:05d}-of-00002.parquet")
+    assert sources.snapshot_folder("a/b", str(tmp_path)) == str(folder) and sources.snapshot_folder("a/c", str(tmp_path)) is None
+    first = sources.load(spark, "imdb", str(folder)).collect()
+    assert Counter(r.split for r in first) == {"train": 30, "test": 20} and all(r.text.startswith(r.split) for r in first)
+    assert {r.doc_id for r in first if r.split == "train"} == set(range(30))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400b")
+    try:  # ids don't depend on how files are dealt to tasks
+        assert sorted(sources.load(spark, "imdb", str(folder)).collect()) == sorted(first)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert Counter(r.split for r in sources.load(spark, "snips", str(folder), 7).collect()) == {"train": 7, "test": 7}
+    assert Counter(r.split for r in sources.read_parquet_snapshot(spark, str(folder), heads={"train": 4, "test": 0, "other": 3}).collect()) == {"train": 4, "test": 20}
+    for name in ("amazon", "agnews"):
+        assert sources.load(spark, name, str(folder)).count() == 50
+    assert {(r.label, r.text.split()[1]) for r in sources.load(spark, "drugscom", str(folder)).collect()} == {(int(i % 10 >= 5), str(i)) for i in range(30)}
+    for split in ("train", "test"):
+        (tmp_path / f"{split}.csv").write_text('text,label\n"two\nlines, ""quoted""",3\nplain,odd\n', encoding="utf-8")
+    rows = sources.load(spark, "atis", str(tmp_path)).where("split = 'train'").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text, r.label) for r in rows] == [(0, 'two\nlines, "quoted"', 3), (1, "plain", None)]
+    with pytest.raises(ValueError):
+        sources.load(spark, "nothing", str(folder))
+
+
+def test_hash_embedding(spark):
+    import hashlib
+
+    texts = ["The cat the CAT", "", None, "a\u00a0b  c"]
+    got = [r.embedding for r in embedding.embed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", dim=8).orderBy("i").collect()]
+    for t, e in zip(texts, got):
+        v = np.zeros(8)
+        for w in (t or "").lower().split():
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            v[h % 8] += 1 if h // 8 % 2 == 0 else -1
+        assert e == pytest.approx((v / max(np.linalg.norm(v), 1e-10)).tolist())
+    with pytest.raises(ValueError):
+        embedding.loader("no-such-model")
+
+
+def test_token_matching(spark):
+    a, b = _blobs(8, 3), _blobs(9, 4)
+    cosine = b @ a.T
+    p, r = cosine.max(axis=1).mean(), cosine.max(axis=0).mean()
+    assert metrics.greedy_match(a, b) == pytest.approx({"precision": p, "recall": r, "f1": 2 * p * r / (p + r)})
+    s = spark.createDataFrame([("The cat.", "the cat ."), ("x", None)], "o string, s string").select(metrics.bert_scores_of_texts(F.col("o"), F.col("s")).alias("s")).collect()
+    assert s[0].s.f1 == pytest.approx(1) and s[1].s.f1 == 0
+
+
+def test_ordered_concat_and_ranges(spark):
+    rows = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "c")], "d int, pos int, t string")
+    assert {r.d: r.t for r in documents.joined_documents(rows, ["d"], "pos", "t").collect()} == {1: "a b", 2: "c"}
+    counts = spark.createDataFrame([(i, i % 5) for i in range(200)], "doc_id long, n_sentences int")
+    end = 0
+    for r in documents.sentence_ranges(counts, 7).orderBy("doc_id").collect():
+        assert r.start == end and r.end == end + r.doc_id % 5
+        end = r.end
+
