@@ -24,8 +24,8 @@ from hushtext.llm._common import map_batches, stored, word_hashes
 
 #: Labelled rows of each class from which the models are counted, and on which the curve is fitted; least hashes first.
 COUNT_ROWS, CURVE_ROWS = 12_000, 6_000
-#: Taken off each count, so that what a class has once is left to the shared counts.
-DISCOUNT = 1.5
+#: Taken off each count, so that what a class has once is left to the shared counts: the largest Kneser-Ney discount.
+DISCOUNT = 1.0
 #: Added to each word's shared count: the rarer a word, the more both classes have of it.
 SHARED_MORE = 10.0
 #: Bound, in nats, of what a word's context adds to its evidence.
@@ -114,8 +114,20 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Logistic regression by Newton steps; weight: of how many rows each row stands."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression whose slopes aren't negative, so that more evidence never lowers a score: evidence that would
+    get a negative slope is left out, the most negative first. weight: of how many rows each row stands."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = _newton(x[:, used], y, weight)
+        if len(used) == 1 or w[1:].min() >= 0:
+            out = np.zeros(x.shape[1])
+            out[used] = w
+            return out
+        del used[1 + int(w[1:].argmin())]
+
+
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
