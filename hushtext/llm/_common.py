@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -18,34 +14,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries after which a worker starts its memo anew. It bounds memory only; results never depend on it.
-MEMO_LIMIT = 400_000
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if base:
-        return f"{base.rstrip('/')}/hushtext-{sc.applicationId}"
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not hasattr(shared_dir, "local"):
-        shared_dir.local = tempfile.mkdtemp(prefix="hushtext-")
-        atexit.register(shutil.rmtree, shared_dir.local, ignore_errors=True)
-    return f"file://{shared_dir.local}"
+from hushtext.operators.storage import fresh_path, stored
 
+__all__ = ["fresh_path", "stored"]
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Entries after which a worker starts its memo anew. It bounds memory only; results never depend on it.
+MEMO_LIMIT = 300_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -75,6 +50,16 @@ def worker_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
+def aside(docs: DataFrame, names) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns of these names put by under other names, and what brings docs' own columns back."""
+    moved = {c: f"__own_{c}" for c in docs.columns if c.lower() in {n.lower() for n in names}}
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[df[moved.get(c, c)].alias(c) for c in docs.columns])
+
+    return docs.withColumnsRenamed(moved), back
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
     """The texts of a batch one at a time; null counts as empty."""
     for x in batch.column(name):
@@ -182,6 +167,11 @@ class UnitMemo:
         self.index.update(zip(units, range(self.n_units, many)))
         self.n_flat, self.n_units = need, many
 
+    def both(self, units: list) -> tuple[np.ndarray, np.ndarray]:
+        """numbers and ids of units."""
+        at = self.numbers(units)
+        return at, self._ids(at)
+
     def numbers(self, units: list) -> np.ndarray:
         """A number for each unit, valid until the next call."""
         if self.n_units > self.limit:
@@ -192,8 +182,7 @@ class UnitMemo:
             found = list(map(self.index.__getitem__, units))
         return np.array(found, np.int64)
 
-    def ids(self, units: list) -> np.ndarray:
-        at = self.numbers(units)
+    def _ids(self, at: np.ndarray) -> np.ndarray:
         sizes = self.sizes[at].astype(np.int64)
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
