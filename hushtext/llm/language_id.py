@@ -3,8 +3,8 @@
 A page's language has a prior from its host, and three kinds of evidence: its text, the language that its
 markup (or metadata) declares, and the suffix of its address. Host priors come from grouped aggregation and
 are smoothed hierarchically: a host towards its suffix, a suffix towards the whole table. Text likelihoods
-come from byte n-grams; declarations and suffixes have likelihoods under each language from the same counts.
-The class und (undetermined) models text in none of the languages as bytes without an order.
+come from byte n-grams. Likelihoods of declarations and of suffixes under each language are grouped counts too, of rows by the
+language that their text alone tells. The class und (undetermined) models text in none of the languages as bytes without an order.
 
 The passes that count read no text. The one that decides moves no rows: hosts are joined by a broadcast of
 checked size, or by a salted shuffle beyond it.
@@ -21,22 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hushtext.llm._common import map_batches, stored
+from hushtext.llm._common import aside, map_batches, stored
 
 #: Rows of each declared language from which the text model is counted, least hashes first.
 TRAIN_ROWS = 2_000
 GRAM_BITS = 16
 #: Strength of a prior in rows: of a suffix for its hosts, and of the whole table for a suffix.
 HOST_PRIOR, SUFFIX_PRIOR = 20.0, 100.0
-#: Probability that a declaration, and a national suffix, name the language of the text.
-DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
+#: Rows of each language that are added to the counts of declarations and suffixes by it, spread as in the whole table.
+EVIDENCE_PRIOR = 50.0
 #: Bytes of text that count as independent evidence: n-grams overlap, so a text says less than their product.
 TEXT_TEMPER = 0.25
 MIN_POSTERIOR = 0.5
 BROADCAST_HOSTS = 100_000
-SALTS = 64
-#: Languages that address suffixes of single countries stand for.
-SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
+#: Copies of a host's row where it has more than HOT_ROWS rows, for a join by shuffle.
+SALTS, HOT_ROWS = 64, 1_000_000
 UND = "und"
 _BLOCK = 1 << 20
 RESULTS = ("language", "posterior", "text_language", "kept")
@@ -125,14 +124,46 @@ def fit_text(items: DataFrame, languages: list[str]) -> TextModel:
     return TextModel(languages, counts)
 
 
+def _evidence(rows: DataFrame, text: str, told, names: list[str]) -> DataFrame:
+    """__declared, __suffix, and for each language the number of rows whose text alone tells it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = told.value
+        for batch in batches:
+            found: dict = {}
+            for t, *k in zip(batch.column(text), batch.column("__declared").to_pylist(), batch.column("__suffix").to_pylist()):
+                said = model.log_likelihoods(t.as_py() or "")
+                if said is not None and (best := int(said.argmax())) < len(names):
+                    found.setdefault(tuple(k), [0] * len(names))[best] += 1
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * len(names)]
+            columns = zip(*[(*k, *n) for k, n in found.items()]) if found else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["__declared", "__suffix", *names])
+
+    known = rows.where("__declared is not null or __suffix is not null").select(text, "__declared", "__suffix")
+    counted = map_batches(known, run, "__declared string, __suffix string, " + ", ".join(f"`{x}` long" for x in names))
+    return stored(counted.groupBy("__declared", "__suffix").agg(*[F.sum(x).alias(x) for x in names]), "language-evidence")
+
+
+def _with_hosts(rows: DataFrame, table: DataFrame, name: str, key: str) -> DataFrame:
+    """rows joined with a row of table for each value of the column name: by broadcast up to BROADCAST_HOSTS, else salted."""
+    if table.count() <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(table), name, "left")
+    # only values of many rows are dealt over salts
+    hot = rows.groupBy(name).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT_ROWS).select(name, F.lit(SALTS).alias("__salts"))
+    hot = F.broadcast(stored(hot, "language-hot"))  # at most the table's rows / HOT_ROWS
+    salted = table.join(hot, name, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    salt = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.coalesce("__salts", F.lit(1))).cast("int")
+    return rows.join(hot, name, "left").withColumn("__salt", salt).drop("__salts").join(salted, [name, "__salt"], "left").drop("__salt")
+
+
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, key: str = "doc_id", languages: tuple[str, ...] = ("de", "en", "es", "fr"), min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """docs with language (of the highest posterior), posterior, text_language (by text alone) and kept.
 
     kept: the language is not und and its posterior is min_posterior or more. A row's own declaration doesn't
     count in its host's prior. Null, empty and letterless texts are und with posterior 1 and not kept; a null
     declaration, host or suffix is no evidence; of equal posteriors the first language by name wins; rows
-    are judged one by one, so repeated rows fare alike; an empty table gives no rows. Columns of docs with
-    the names of results are replaced.
+    are judged one by one, so repeated rows fare alike; a very long text is read whole; an empty table gives no rows.
+    Columns of docs with the names of results are replaced.
     """
     docs = docs.drop(*RESULTS)
     none = F.lit(None).cast("string")
@@ -150,23 +181,24 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     by_suffix = suffixes.select("__suffix", F.array(*names).cast("array<double>").alias("__by_suffix"))
     by_host = counts.where("__host is not null").groupBy("__host").agg(F.max("__suffix").alias("__hs"), *[F.sum(x).alias(x) for x in names])
     by_host = by_host.select("__host", F.col("__hs").alias("__suffix_of_host"), F.array(*names).cast("array<double>").alias("__by_host"))
+    told = docs.sparkSession.sparkContext.broadcast(model)
+    evidence = _evidence(rows, text, told, names)
+    by_declared = {r["__declared"]: np.array(r["n"]) for r in evidence.where("__declared is not null").groupBy("__declared").agg(F.array(*[F.sum(x) for x in names]).alias("n")).collect()}  # one of names each
+    seen = np.array([by_declared.get(x, np.zeros(len(names))) for x in names], np.float64)  # by declaration and language
+    share = (seen.sum(axis=1) + 1) / (seen.sum() + len(names))
+    say = np.log((seen + EVIDENCE_PRIOR * share[:, None]) / (seen.sum(axis=0) + EVIDENCE_PRIOR))
+    by_end = stored(evidence.where("__suffix is not null").groupBy("__suffix").agg(F.array(*[F.sum(x) for x in names]).cast("array<double>").alias("__ends")), "language-suffixes")
+    with_suffix = np.array(by_end.agg(*[F.coalesce(F.sum(F.col("__ends")[i]), F.lit(0.0)) for i in range(len(names))]).first(), np.float64)
+    rows = _with_hosts(rows, by_end, "__suffix", key)
     priors = by_host.join(by_suffix, F.col("__suffix_of_host").eqNullSafe(F.col("__suffix")), "left").select("__host", "__by_host", "__by_suffix")
     priors = stored(priors, "language-priors")
-    if priors.count() <= BROADCAST_HOSTS:
-        rows = rows.join(F.broadcast(priors), "__host", "left")
-    else:
-        salted = priors.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(SALTS)).cast("int")
-        rows = rows.withColumn("__salt", salt).join(salted, ["__host", "__salt"], "left").drop("__salt")
-    told = docs.sparkSession.sparkContext.broadcast(model)
-    inputs = ["__declared", "__suffix", "__by_host", "__by_suffix"]
+    rows = _with_hosts(rows, priors, "__host", key)
+    inputs = ["__declared", "__ends", "__by_host", "__by_suffix"]
     kept_columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = told.value
         n = len(names)
-        say = np.log(np.full((n, n), (1 - DECLARED_RIGHT) / max(1, n - 1)) + np.eye(n) * (DECLARED_RIGHT - (1 - DECLARED_RIGHT) / max(1, n - 1)))
-        ends = np.log(np.full((n, n), (1 - SUFFIX_RIGHT) / max(1, n - 1)) + np.eye(n) * (SUFFIX_RIGHT - (1 - SUFFIX_RIGHT) / max(1, n - 1)))
         neutral = np.log(1 / n)
         for batch in batches:
             out: list[list] = [[], [], [], []]
@@ -188,9 +220,12 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
                     prior = (rest + HOST_PRIOR * prior) / (rest.sum() + HOST_PRIOR)
                 log = said + np.append(np.log(prior * 0.99), np.log(0.01))
                 if d is not None:
-                    log += np.append(say[:, names.index(d)], neutral)
-                if (lang := SUFFIX_LANGUAGE.get(s)) in names:
-                    log += np.append(ends[:, names.index(lang)], neutral)
+                    log += np.append(say[names.index(d)], neutral)
+                if s is not None:  # the row itself is one of those that were counted
+                    ends = np.maximum(np.array(s) - own, 0)
+                    usual = (ends.sum() + 1) / (with_suffix.sum() + 1)
+                    ends = np.log((ends + EVIDENCE_PRIOR * usual) / (with_suffix + EVIDENCE_PRIOR))
+                    log += np.append(ends, np.log(usual))
                 post = np.exp(log - log.max())
                 post /= post.sum()
                 best = int(post.argmax())
@@ -207,12 +242,14 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
 
 
 def kept(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs in one of the languages, with the columns of docs."""
-    return identify(docs, **options).where("kept").select(docs.columns)
+    """The rows of docs in one of the languages, with the columns of docs, whatever their names."""
+    rows, back = aside(docs, RESULTS)
+    return back(identify(rows, **options).where("kept"))
 
 
 def identify_pages(pages: DataFrame, **options) -> DataFrame:
-    """page_id, language, posterior, text_language, kept of web pages (page_id, url, html)."""
+    """page_id, language, posterior, text_language, kept of web pages (page_id, url, html). Null pages are und; a null or
+    broken url gives no host and no suffix; repeated rows stay; an empty table gives no rows; further columns go."""
     host = host_of(F.col("url"))
     rows = pages.select("page_id", page_text(F.col("html")).alias("text"), declared_language(F.col("html")).alias("lang"), host.alias("host"), suffix_of(host).alias("suffix"))
     return identify(rows, host="host", suffix="suffix", key="page_id", **options).select("page_id", *RESULTS)
