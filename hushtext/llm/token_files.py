@@ -10,6 +10,7 @@ place of a document among all ids needs only one sum for each file.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from hushtext.llm.bpe import byte_symbols
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
-STRIPE_BYTES = 64 << 20
+STRIPE_BYTES, FILE_BYTES = 64 << 20, 256 << 20
 INDEX_STRIDE = 10_000
 BLOOM_FPP = 0.01
 
@@ -73,12 +74,15 @@ def codec(path: str) -> ByteBpe:
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, files: int | None = None) -> None:
     """Encode each row's text, append end_id, and write ids in ascending doc_id order to ORC files under path.
 
-    Null doc_ids come first; of equal doc_ids the lesser text does. Null and empty texts have the end id
-    alone. Repeated rows stay. An empty table gives a folder that read() takes for no rows. Columns other
+    Null doc_ids come first; rows of equal doc_ids stand by a hash of their text, so that one id's rows may fill many
+    files. Files hold some FILE_BYTES of text, and shuffles' partitions are their least number. Null and empty texts have
+    the end id alone; very long ones are encoded whole. Repeated rows stay. An empty table gives a folder that read() takes for no rows. Columns other
     than doc_id and text go.
     """
     vocabulary = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
-    files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not files:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, part, start = codec(vocabulary), TaskContext.get().partitionId(), 0
@@ -91,7 +95,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast("int64"), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), flat], ["doc_id", "part", "part_start", "n_tokens", "ids"])
             start = int(ends[-1]) if len(n) else start
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    dealt = dealt.repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
     map_batches(dealt, run, SCHEMA).write.option("compression", "zstd").option("orc.create.index", "true").option("orc.row.index.stride", INDEX_STRIDE).option("orc.stripe.size", STRIPE_BYTES).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", BLOOM_FPP).orc(path)
 
 
