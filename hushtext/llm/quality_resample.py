@@ -1,9 +1,8 @@
 """Quality by importance resampling.
 
 Two generative models of hashed word n-grams, of target texts (labelled good) and of all texts, give each
-document an importance weight: the mean log-ratio of its n-grams, times an effective length so that long
-and short documents compete alike. Gumbel noise keyed by the document makes the top k a sample without
-replacement in proportion to the weights. The k-th key is found by counting digits of keys, never by a sort
+document an importance weight: the ratio of its likelihoods, whose logarithm is the sum of its n-grams' log-ratios.
+Gumbel noise keyed by the document makes the top k a sample without replacement in proportion to the weights. The k-th key is found by counting digits of keys, never by a sort
 of all documents.
 """
 
@@ -23,11 +22,11 @@ from hushtext.llm.sharding import HASH_BITS, key_hash
 BUCKET_BITS = 14
 #: Labelled rows from which the target model is counted, least hashes first. The raw model counts all rows.
 TARGET_ROWS = 50_000
-EFFECTIVE_LENGTH = 100.0
 KEEP = 0.9
 WORD = re.compile(r"\w+|[^\w\s]")
 DIGIT_BITS = 12
-KEY_SCALE = 1 << 24
+#: Keys are weights plus KEY_ZERO in units of 1 / KEY_SCALE: 59 bits, as log weights of texts up to gigabytes lie within KEY_ZERO of 0.
+KEY_ZERO, KEY_SCALE = 1 << 34, 1 << 24
 
 
 def buckets(text: str) -> np.ndarray:
@@ -89,7 +88,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: str =
 
     Null, empty and wordless texts have the least weight and are never selected. Rows with equal keys are
     selected together, so repeated rows fare alike and a few more than asked may be selected; null doc_ids
-    share one noise; an empty table gives no rows; columns other than doc_id and text go.
+    share one noise; a very long text is read whole; an empty table gives no rows; columns other than doc_id and text go.
     """
     ratio = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
@@ -98,14 +97,14 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: str =
             w = []
             for t in batch.column("text"):
                 b = buckets(t.as_py() or "")
-                w.append(float(ratio.value[b].mean(dtype=np.float64)) * EFFECTIVE_LENGTH if len(b) else None)
+                w.append(float(ratio.value[b].sum(dtype=np.float64)) if len(b) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w, "float64")], ["doc_id", "log_weight"])
 
     rows = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, log_weight double")
     uniform = (key_hash(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) + 0.5) / float(1 << HASH_BITS)
     noisy = F.col("log_weight") - F.log(-F.log(uniform))
-    # order-preserving and non-negative: weights lie within some thousands of 0
-    key = F.floor((noisy + 32_768.0) * KEY_SCALE).cast("long")
+    # order-preserving and non-negative
+    key = F.floor((noisy + float(KEY_ZERO)) * KEY_SCALE).cast("long")
     rows = stored(rows.withColumn("key", key), "quality-keys")
     scored = rows.where("key is not null")
     k = int(rows.count() * keep)
