@@ -93,35 +93,40 @@ def feature(payload: bytes) -> str:
 
 
 def chunk_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, digest of each chunk."""
+    """doc_id, of (a hash of the text, which tells rows of one doc_id apart), pos, digest of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, pos, digests = [], [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            ids, of, pos, digests = [], [], [], []
+            for i, h, t in zip(batch.column("doc_id").to_pylist(), batch.column("of").to_pylist(), batch.column("text")):
                 found = [digest(c) for c in cut(payload_of(t.as_py() or "")[0])]
                 ids += [i] * len(found)
+                of += [h] * len(found)
                 pos += range(len(found))
                 digests += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, "int64"), pa.array(pos, "int32"), pa.array(digests, "binary")], ["doc_id", "pos", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, "int64"), pa.array(of, "int64"), pa.array(pos, "int32"), pa.array(digests, "binary")], ["doc_id", "of", "pos", "digest"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, pos int, digest binary")
+    return map_batches(_keyed(docs), run, "doc_id long, of long, pos int, digest binary")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("of"), "text")
 
 
 def write(docs: DataFrame, path: str) -> None:
     """Store the payload of each row's text as a pack under path. Null texts count as empty; repeated rows stay.
 
-    An owner is the first chunk with its digest by doc_id and place, null doc_ids first; rows that repeat a
-    doc_id both keep it. Columns other than doc_id and text go.
+    An owner is the first chunk with its digest by doc_id, hash of its text and place, null doc_ids first; rows that
+    repeat both keep it. Very long texts are stored whole, an empty table as no rows. Columns other than doc_id and text go.
     """
     found = stored(chunk_digests(docs), "media-digests")
-    shared = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("owner")).where("n > 1")
-    shared = stored(shared.select("digest", F.col("owner.doc_id").alias("owner_id"), F.col("owner.pos").alias("owner_pos")), "media-shared")
-    away = found.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest").where("not (doc_id <=> owner_id and pos = owner_pos)")
-    away = stored(away.select(F.col("doc_id").alias("k"), F.struct("pos", "digest").alias("chunk")), "media-away")
-    lists = away.groupBy("k").agg(F.collect_set("chunk").alias("away"))  # at most the chunks of a payload
+    shared = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "of", "pos")).alias("owner")).where("n > 1")
+    shared = stored(shared.select("digest", F.col("owner.doc_id").alias("owner_id"), F.col("owner.of").alias("owner_of"), F.col("owner.pos").alias("owner_pos")), "media-shared")
+    away = found.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest").where("not (doc_id <=> owner_id and of = owner_of and pos = owner_pos)")
+    away = stored(away.select(F.col("doc_id").alias("k"), F.col("of").alias("h"), F.struct("pos", "digest").alias("chunk")), "media-away")
+    lists = away.groupBy("k", "h").agg(F.collect_set("chunk").alias("away"))  # at most the chunks of a payload
     lists = F.broadcast(lists) if away.count() <= BROADCAST_DIGESTS else lists
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, F.col("doc_id").eqNullSafe(F.col("k")), "left").drop("k")
+    rows = _keyed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("of") == F.col("h")), "left").drop("k", "h", "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +150,7 @@ def write(docs: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, n_bytes, digests, chunks (the payload's, in order) of each stored row."""
+    """doc_id, n_bytes, digests, chunks (the payload's, in order; null where no stored row has one) of each stored row."""
     packs = spark.read.parquet(f"{path}/packs")
     shared = spark.read.parquet(f"{path}/shared").select("digest")
     whole = packs.where("whole").select("doc_id", "n_bytes", "digests", F.col("owned").alias("chunks"))
@@ -155,8 +160,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     held = stored(held.groupBy("digest").agg(F.first("bytes").alias("bytes")), "media-held")
     size = held.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     away = packs.where("not whole").select("pack", F.posexplode(F.arrays_zip("digests", "owned")).alias("pos", "c")).where("c.owned is null").select("pack", "pos", F.col("c.digests").alias("digest"))
-    brought = away.join(F.broadcast(held) if size <= BROADCAST_BYTES else held, "digest").groupBy("pack").agg(F.map_from_entries(F.collect_list(F.struct("pos", "bytes"))).alias("brought"))
-    joined = packs.where("not whole").join(brought, "pack").select("doc_id", "n_bytes", "digests", F.transform("owned", lambda c, i: F.coalesce(c, F.col("brought")[i])).alias("chunks"))
+    brought = away.join(F.broadcast(held) if size <= BROADCAST_BYTES else held, "digest", "left").groupBy("pack").agg(F.map_from_entries(F.collect_list(F.struct("pos", "bytes"))).alias("brought"))
+    joined = packs.where("not whole").join(brought, "pack", "left").select("doc_id", "n_bytes", "digests", F.transform("owned", lambda c, i: F.coalesce(c, F.col("brought")[i])).alias("chunks"))
     return whole.unionByName(joined)
 
 
