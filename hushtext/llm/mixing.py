@@ -13,16 +13,19 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
-from hushtext.llm._common import stored
+from hushtext.llm._common import aside, stored
 from hushtext.llm.sharding import HASH_BITS, key_hash
 
 #: Cost of a word taken for the first, second and third time.
 REPEAT_COSTS = (0, 1, 3)
 BUCKET_BITS = 12
-#: The flow network stands on the driver: patterns, not documents.
-MAX_PATTERNS = 20_000
+#: Rows of a plan, some 100 bytes each, that are broadcast; beyond, joins shuffle.
+BROADCAST_PATTERNS = 200_000
+#: Columns that take() adds.
+RESULTS = ("size", "times", "taken", "source_size", "target")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,8 +43,36 @@ def quotas(sizes: dict, weights: dict, most: float = len(REPEAT_COSTS)) -> dict:
 def flow(patterns: dict[str, tuple[int, list]], targets: dict, costs: tuple = REPEAT_COSTS) -> dict[tuple[str, object], int]:
     """Words from each pattern to each of its sources: the most that quotas take, at the least cost.
 
-    patterns: size and sources by pattern. Successive shortest paths in whole words.
+    patterns: size and sources by pattern. Patterns and sources that no pattern links are routed apart. Those of one
+    source need no network: they fill its quota, or give all they may.
     """
+    root = {s: s for s in targets}
+
+    def find(s):
+        while root[s] is not s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for _, sources in patterns.values():
+        for s in sources[1:]:
+            root[find(s)] = find(sources[0])
+    groups: dict = {}
+    for p, (_, sources) in patterns.items():
+        if sources:
+            groups.setdefault(find(sources[0]), []).append(p)
+    out = {}
+    for some in groups.values():
+        if len(some) == 1 and len(patterns[some[0]][1]) == 1:
+            size, (s,) = patterns[some[0]]
+            out[some[0], s] = min(size * len(costs), round(targets[s]))
+        else:
+            part = {p: patterns[p] for p in some}
+            out |= _network(part, {s: targets[s] for p in some for s in patterns[p][1]}, costs)
+    return out
+
+
+def _network(patterns: dict[str, tuple[int, list]], targets: dict, costs: tuple) -> dict[tuple[str, object], int]:
+    """flow() by successive shortest paths in whole words."""
     names = [("start",), ("end",), *[("p", p) for p in patterns], *[("s", s) for s in targets]]
     node = {x: i for i, x in enumerate(names)}
     head, room, price, out = [], [], [], [[] for _ in names]
@@ -106,9 +137,8 @@ def plan(items: DataFrame, weights=cycle_weights) -> tuple[DataFrame, DataFrame]
     bucket = F.shiftright("hash", HASH_BITS - BUCKET_BITS)
     # one pass: the rows of a pattern meet only as sums over hash buckets
     heap = stored(items.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.first("sources").alias("sources")), "mix-buckets")
-    rows = heap.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources")).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} membership patterns")
+    # patterns, not documents: the flow stands on the driver
+    rows = heap.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources")).collect()
     patterns = {r["pattern"]: (r["size"], list(dict.fromkeys(r["sources"]))) for r in sorted(rows, key=lambda r: r["pattern"])}
     sizes: dict = {}
     for size, sources in patterns.values():
@@ -122,7 +152,7 @@ def plan(items: DataFrame, weights=cycle_weights) -> tuple[DataFrame, DataFrame]
     sent: dict = {}
     for (p, _), n in flow(patterns, targets).items():
         sent[p] = sent.get(p, 0) + n
-    asked = [(p, *divmod(sent[p], size)) if size else (p, 0, 0) for p, (size, _) in patterns.items()]
+    asked = [(p, *divmod(sent.get(p, 0), size)) if size else (p, 0, 0) for p, (size, _) in patterns.items()]
     asked_df = spark.createDataFrame(asked, "pattern string, times long, more long")
     w = Window.partitionBy("pattern").orderBy("bucket")
     edge = heap.join(F.broadcast(asked_df), "pattern").withColumn("before", F.sum("size").over(w) - F.col("size")).where("before <= more and more < before + size").select("pattern", "bucket", "before", "more")
@@ -139,27 +169,33 @@ def plan(items: DataFrame, weights=cycle_weights) -> tuple[DataFrame, DataFrame]
 
 
 def take(docs: DataFrame, seed: str = "mix", source: str = "source", key: str = "doc_id", text: str = "text", weights=cycle_weights) -> DataFrame:
-    """docs with size, times, taken, source_size, target of the row's own source; no row moves between machines.
+    """docs with size, times, taken, source_size, target; no row moves between machines.
 
-    Null texts have size 0 and take nothing; a null source is a source of its own; rows with the same key are
-    taken alike; an empty table gives no rows. Columns of docs with these names are replaced.
+    source: a column of one source, or an array of all sources that hold the document; then source_size and target
+    are those of its first source in order. Null texts have size 0 and take nothing; a null source is a source of its
+    own, an array without a source takes nothing; rows with the same key are taken alike; a very long text counts
+    whole; an empty table gives no rows. Columns of docs with these names are replaced.
     """
-    docs = docs.drop("size", "times", "taken", "source_size", "target")
+    docs = docs.drop(*RESULTS)
+    several = isinstance(docs.schema[source].dataType, ArrayType)
+    held = F.array_sort(F.array_distinct(F.coalesce(F.col(source), F.array().cast("array<string>")))) if several else F.array(F.col(source))
     hashed = key_hash(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = docs.withColumns({"size": word_count(F.col(text)), "__hash": hashed, "__pattern": F.to_json(F.array(source))})
-    items = stored(rows.select(F.array(source).alias("sources"), F.col("__hash").alias("hash"), "size"), "mix-items")
+    rows = docs.withColumns({"size": word_count(F.col(text)), "__hash": hashed, "__sources": held, "__pattern": F.to_json(held, {"ignoreNullFields": "false"})})
+    items = stored(rows.select(F.col("__sources").alias("sources"), F.col("__hash").alias("hash"), "size"), "mix-items")
     patterns, sources = plan(items, weights)
     patterns = patterns.select(F.col("pattern").alias("__p"), F.col("times").alias("__times"), F.col("cut").alias("__cut"))
-    # both have a row for each source, at most MAX_PATTERNS
-    rows = rows.join(F.broadcast(patterns), F.col("__pattern") == F.col("__p")).join(F.broadcast(sources), F.col(source).eqNullSafe(F.col("mix_source")))
-    times = F.when(F.col("size") == 0, 0).otherwise(F.col("__times") + (F.col("__hash") <= F.col("__cut")).cast("long"))
-    rows = rows.withColumn("times", F.least(times, F.lit(len(REPEAT_COSTS))).cast("long"))
-    return rows.withColumn("taken", F.col("times") * F.col("size")).drop("__hash", "__pattern", "__p", "__times", "__cut", "mix_source")
+    sources = sources.select(F.col("mix_source").alias("__source"), "source_size", "target")
+    patterns, sources = (F.broadcast(x) if x.count() <= BROADCAST_PATTERNS else x for x in (patterns, sources))
+    rows = rows.join(patterns, F.col("__pattern") == F.col("__p"), "left").join(sources, F.get("__sources", F.lit(0)).eqNullSafe(F.col("__source")) & (F.size("__sources") > 0), "left")
+    times = F.when(F.col("size") == 0, 0).otherwise(F.coalesce(F.col("__times") + (F.col("__hash") <= F.col("__cut")).cast("long"), F.lit(0)))
+    rows = rows.withColumn("times", F.least(times, F.lit(len(REPEAT_COSTS))).cast("long")).withColumn("taken", F.col("times") * F.col("size"))
+    return rows.select(*docs.columns, *RESULTS)
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    return take(docs, **options).where("times > 0").withColumn("__n", F.explode(F.expr("sequence(1, times)"))).select(docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names."""
+    rows, back = aside(docs, RESULTS)
+    return back(take(rows, **options).where("times > 0").withColumn("__n", F.explode(F.expr("sequence(1, times)"))))
 
 
 ORACLE = f"""
