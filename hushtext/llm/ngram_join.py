@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from hushtext.llm._common import map_arrow, map_batches, stored, word_hashes, worker_path
 
 WORD = re.compile(r"\w+")
-BLOCK = 1024
+#: Nodes, and bytes of n-gram sets, of a block of a bucket, on the average.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 #: Nodes whose ids of 16 bytes are broadcast; beyond, joins shuffle.
 BROADCAST_NODES = 1_000_000
 #: Nodes in which dense products are faster than sets.
@@ -214,20 +215,21 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     to each other, directly or through others. Words are runs of letters, digits and _ in lower case; a text
     of fewer than n words is one run of all its words; null, empty and wordless texts have no links and are
     classes of their own (their doc_id). Null doc_ids are less than others, so a class with one has
-    a null class_id; repeated rows stay and link to each other; an empty table gives no rows; columns other
-    than doc_id and text go.
+    a null class_id; repeated rows stay and link to each other; a very long text is compared whole; an empty table gives
+    no rows; columns other than doc_id and text go.
     """
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
     signed = stored(signatures(docs, n, bands, rows), "join-signatures")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.min_by("bands", order).alias("bands"))
-    nodes = stored(nodes.select("node", "copies", F.col("first.known").alias("known"), F.col("first.id").alias("rep"), "bands"), "join-nodes")
-    keys = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = keys.groupBy("band", "hash").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("node").alias("low")).where("members > 1")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.min_by("bands", order).alias("bands"), F.first("grams").alias("grams"))
+    nodes = stored(nodes.select("node", "copies", F.col("first.known").alias("known"), F.col("first.id").alias("rep"), "bands", "grams"), "join-nodes")
+    keys = nodes.select("node", "grams", F.posexplode("bands").alias("band", "hash"))
+    buckets = keys.groupBy("band", "hash").agg(F.count("*").alias("members"), F.sum("grams").alias("grams"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("node").alias("low")).where("members > 1")
     # of buckets with the same members the first band's sees all their pairs
-    first = buckets.groupBy("members", "print", "low").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "members")
-    first = stored(first.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "join-buckets")
+    first = buckets.groupBy("members", "print", "low").agg(F.min(F.struct("band", "hash", "grams")).alias("b")).select("b.*", "members")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.least(F.ceil(8 * F.col("grams") / BLOCK_BYTES), F.col("members"))).cast("int")
+    first = stored(first.select("band", "hash", blocks.alias("blocks")), "join-buckets")
     n_buckets = first.count()
     members = keys.join(F.broadcast(first) if n_buckets <= BROADCAST_NODES else first, ["band", "hash"])
     members = stored(members.select("node", "band", "hash", "blocks"), "join-members")
