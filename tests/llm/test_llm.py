@@ -66,12 +66,19 @@ def test_shards_fit(spark):
 
 
 def test_fertility_counts():
-    m = fertility_rules.Fertility(public_tokenizers.path(fertility_rules.DEFAULT_VOCABULARY))
+    m = fertility_rules.Fertility(public_tokenizers.path(fertility_rules.DEFAULT_VOCABULARY), public_tokenizers.path(fertility_rules.SECOND_VOCABULARY))
     for t in [*ODD, "a b c d e f g h " * 3, "x y\nx y\n\n \nz"]:
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
         n = Counter(grams)
         covered = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if x.strip(fertility_rules.BLANKS)]
+        assert m.measure(t)[3] == len(lines) - len(set(lines))
+        pieces = [i for x in w for i in m.model.encode(x)]
+        if pieces:
+            share = np.array(list(Counter(pieces).values())) / len(pieces)
+            figures = len(pieces), sum(map(len, w)) / len(pieces), np.mean([m.model.is_byte(i) for i in pieces]), -(share * np.log2(share)).sum(), sum(map(len, w)) / len(m.second.encode(" ".join(w), disallowed_special=()))
+            assert m.measure(t)[5:10] == pytest.approx(figures)
         assert m.measure(t)[:3] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t))) and m.measure(t)[4] == len(covered)
 
 
@@ -164,8 +171,8 @@ def test_band_fit():
     rnd = np.random.default_rng(1)
     n = rnd.integers(64, 4096, 4000)
     bits = 1 + 0.5 * np.log2(n) + rnd.uniform(-0.1, 0.1, 4000)
-    b = fertility_rules.fit_band(rnd.uniform(2, 3, 4000), bits, n, 0.05)
-    assert (b.chars_low, b.chars_high, b.entropy_low, b.entropy_high) == pytest.approx((2, 3, -0.1, 0.1), abs=0.02)
+    b = fertility_rules.fit_band(rnd.uniform(2, 3, 4000), bits, n, 0.05, rnd.uniform(4, 5, 4000))
+    assert (b.chars_low, b.chars_high, b.entropy_low, b.entropy_high, b.second_low, b.second_high) == pytest.approx((1.9, 3.1, -0.12, 0.12, 3.9, 5.1), abs=0.02)
     assert np.polyval(b.curve, 10) == pytest.approx(6, abs=0.02)
 
 
