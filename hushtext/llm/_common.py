@@ -140,16 +140,17 @@ class Generations:
 class UnitMemo:
     """Ids of text units, memoised as offsets into one flat array.
 
-    encode: ids of each of a list of units. A text is a list of units whose ids stand one after another.
+    encode: ids of each of a list of units. A text is a list of units whose ids stand one after another. weigh: a number
+    of each of a list of units, of which both() gives the sum.
     """
 
-    def __init__(self, encode: Callable[[list], list], limit: int = MEMO_LIMIT):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list], list], limit: int = MEMO_LIMIT, weigh: Callable[[list], list[int]] | None = None):
+        self.encode, self.limit, self.weigh = encode, limit, weigh or (lambda units: [0] * len(units))
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict = {}
-        self.flat, self.starts, self.sizes = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.flat, self.starts, self.sizes, self.weights = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
         self.n_flat = self.n_units = 0
 
     def _learn(self, units: list) -> None:
@@ -161,16 +162,18 @@ class UnitMemo:
         while len(self.starts) < many:
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.empty_like(self.sizes)])
+            self.weights = np.concatenate([self.weights, np.empty_like(self.weights)])
         self.flat[self.n_flat : need] = np.fromiter((i for x in new for i in x), np.int32, need - self.n_flat)
         self.sizes[self.n_units : many] = sizes
+        self.weights[self.n_units : many] = self.weigh(units)
         self.starts[self.n_units : many] = self.n_flat + np.cumsum(sizes) - sizes
         self.index.update(zip(units, range(self.n_units, many)))
         self.n_flat, self.n_units = need, many
 
-    def both(self, units: list) -> tuple[np.ndarray, np.ndarray]:
-        """numbers and ids of units."""
+    def both(self, units: list) -> tuple[np.ndarray, np.ndarray, int]:
+        """numbers and ids of units, and the sum of their weights."""
         at = self.numbers(units)
-        return at, self._ids(at)
+        return at, self._ids(at), int(self.weights[at].sum())
 
     def numbers(self, units: list) -> np.ndarray:
         """A number for each unit, valid until the next call."""

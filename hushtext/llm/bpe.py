@@ -28,10 +28,10 @@ from hushtext.llm._common import Generations, map_arrow, only, portions, texts
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Pairs of tokens of which a worker knows whether they may stand together, and bytes of units whose ids it keeps in each
 #: of two generations. Both bound memory only.
-FIT_LIMIT = 300_000
-MEMO_BYTES = 40 << 20
+FIT_LIMIT = 200_000
+MEMO_BYTES = 24 << 20
 #: Characters of text whose new words are encoded by one walk of a trie.
-PORTION = 4_000_000
+PORTION = 2_000_000
 ROOT = -1
 
 

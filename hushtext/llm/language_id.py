@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hushtext.llm._common import aside, map_batches, stored
+from hushtext.llm._common import aside, map_batches, only, stored
 
 #: Rows of each declared language from which the text model is counted, least hashes first.
 TRAIN_ROWS = 2_000
@@ -128,7 +128,7 @@ def _evidence(rows: DataFrame, text: str, told, names: list[str]) -> DataFrame:
     """__declared, __suffix, and for each language the number of rows whose text alone tells it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = told.value
+        model = only("language", lambda: None) or told.value  # gives back what a stage before held
         for batch in batches:
             found: dict = {}
             for t, *k in zip(batch.column(text), batch.column("__declared").to_pylist(), batch.column("__suffix").to_pylist()):

@@ -77,7 +77,7 @@ def test_fertility_counts():
         pieces = [i for x in w for i in m.model.encode(x)]
         if pieces:
             share = np.array(list(Counter(pieces).values())) / len(pieces)
-            figures = len(pieces), sum(map(len, w)) / len(pieces), np.mean([m.model.is_byte(i) for i in pieces]), -(share * np.log2(share)).sum(), sum(map(len, w)) / len(m.second.encode(" ".join(w), disallowed_special=()))
+            figures = len(pieces), sum(map(len, w)) / len(pieces), np.mean([m.model.is_byte(i) for i in pieces]), -(share * np.log2(share)).sum(), sum(map(len, w)) / sum(len(m.second.encode(f" {x}", disallowed_special=())) for x in w)
             assert m.measure(t)[5:10] == pytest.approx(figures)
         assert m.measure(t)[:3] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t))) and m.measure(t)[4] == len(covered)
 
