@@ -211,7 +211,7 @@ def test_flow_against_brute_force():
 
 
 def test_mix_of_overlapping_sources(spark):
-    """Documents that several sources hold: the words taken of each pattern are what the flow sends, to one document."""
+    """Documents that several sources hold: the mix is as large and costs as much as the best flow."""
     sets = [["a"], ["b"], ["a", "b"], ["b", "c"], [], None]
     rows = [(i, _text("en", RND.randrange(5, 30)), sets[i % 6]) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
@@ -233,7 +233,9 @@ def test_mix_of_overlapping_sources(spark):
     sent = Counter()
     for (k, _), n in mixing.flow(patterns, goal).items():
         sent[k] += n
-    assert all(abs(taken[k] - sent[k]) <= 30 for k in patterns)
+    # several flows can be as good: the words and the cost of repetition agree, but for one document a pattern
+    cost = lambda words: sum(max(0, min(words[k], (i + 1) * n) - i * n) * c for k, (n, _) in patterns.items() for i, c in enumerate((0, 1, 3)))
+    assert abs(sum(taken.values()) - sum(sent.values())) <= 30 * len(patterns) and abs(cost(taken) - cost(sent)) <= 3 * 30 * len(patterns)
 
 
 def test_pages(spark):
