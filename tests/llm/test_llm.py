@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -191,3 +192,56 @@ def test_toxic_scores_keep_their_scale(spark, monkeypatch):
         s = toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", "toxic"))).toPandas()
         mean.append(s.score.mean())
     assert mean[0] == pytest.approx(0.1, abs=0.03) and mean[1] == pytest.approx(mean[0], abs=0.04)
+
+
+def plain_evidence(rows):
+    """Kneser-Ney differences of words and pairs, in plain Python; rows: (text, toxic), texts distinct."""
+    n = {}
+    for text, k in rows:
+        words = text.split()
+        for pair in set(zip([None, *words], words)):
+            n.setdefault(pair, [0, 0])[k] += 1
+    some, every = {}, {}
+    for (a, b), c in n.items():
+        p, s = some.setdefault(b, [0, 0]), every.setdefault(a, [0, 0, 0])
+        for k in (0, 1):
+            p[k] += c[k] > 0
+            s[k] += max(c[k] - 1, 0)
+        s[2] += sum(c)
+    shared = {b: sum(1 for x in n if x[1] == b) for b in some}
+    left = [sum(max(p[k] - 1, 0) for p in some.values()) for k in (0, 1)]
+    w = 1 - sum(left) / sum(map(sum, some.values()))
+    total = len(n) + toxicity.SHARED_MORE * len(some)
+    p = {b: [(1 - w) * max(c[k] - 1, 0) / left[k] + w * (shared[b] + toxicity.SHARED_MORE) / total for k in (0, 1)] for b, c in some.items()}
+    alone, more = {b: math.log(x[1] / x[0]) for b, x in p.items()}, {}
+    for (a, b), c in n.items():
+        m0, m1, seen = every[a]
+        if m0 and m1:
+            back = 1 - (m0 + m1) / seen
+            q = [(1 - back) * max(c[k] - 1, 0) / (m0, m1)[k] + back * p[b][k] for k in (0, 1)]
+            more[a, b] = max(-toxicity.CONTEXT_MOST, min(toxicity.CONTEXT_MOST, math.log(q[1] / q[0]) - alone[b]))
+    return alone, more
+
+
+def test_toxic_counts_take_all_rows_and_both_ways_agree(spark, monkeypatch):
+    rnd = random.Random(9)
+    vocab = "the and of house river stone with water bridge garden".split()
+    rows = [(i, " ".join(rnd.choices(vocab, k=12) + (["you", rnd.choice(["idiot", "fool"])] if i % 4 == 0 else ["you", "friend"]) + [f"t{i % 70}"]), int(i % 4 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (None, None, None), (900, "", 0), rows[5]], "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    got = {r["key"]: r["d"] for r in model.evidence.collect()}
+    counted = {t: k for i, t, k in rows if zlib.crc32(str(i).encode()) % 4 < 2}
+    alone, more = plain_evidence([(t, k) for t, k in counted.items() if t])
+
+    def keys(words):
+        return [int(k) for k in toxicity._keys(toxicity._hashes(" ".join(words))).view(np.int64)]
+
+    for b, d in alone.items():
+        assert got.get(keys([b])[0], 0) == pytest.approx(d, abs=1e-5)
+    for (a, b), d in more.items():
+        assert got.get(keys([b])[1] if a is None else keys([a, b])[3], 0) == pytest.approx(d, abs=1e-5)
+    assert len(got) <= len(alone) + len(more)
+    by_broadcast = toxicity.score(docs, model).orderBy("doc_id").collect()
+    monkeypatch.setattr(toxicity, "MODEL_ENTRIES", 0)
+    assert toxicity.score(docs, model).orderBy("doc_id").collect() == by_broadcast and len(by_broadcast) == 603
+    assert by_broadcast[0].score == next(r.score for r in by_broadcast if r.doc_id == 900)  # null and empty: no evidence
