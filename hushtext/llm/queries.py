@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hushtext.llm import bpe, fertility_rules, language_id, media_chunks, mixing, ngram_join, quality_resample, sharding, token_files, toxicity
+from hushtext.llm import bpe, fertility_rules, filter_audit, language_id, media_chunks, mixing, ngram_join, periodic_runs, quality_resample, sharding, token_files, toxicity, vector_search
 from hushtext.llm._common import fresh_path
 
 SHARD_BYTES = 64 << 20
@@ -65,12 +66,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find(_documents(spark, sf_dir))
+
+
+def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_token_files, op4_sharding, op5_quality_resample, op6_toxicity, op7_fertility_rules, op8_media_chunks, op9_mixing, op10_ngram_join, language_id_pages)} | {
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_token_files, op4_sharding, op5_quality_resample, op6_toxicity, op7_fertility_rules, op8_media_chunks, op9_mixing, op10_ngram_join, op11_filter_audit, op12_periodic_runs, op13_vector_search, language_id_pages)} | {
         # the same operator at a limit at which small tables split too
         "sharding_small_limit": lambda spark, sf_dir: sharding.assign(_documents(spark, sf_dir), 128 << 10)[0],
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.oracle(SHARD_BYTES), "sharding_small_limit": sharding.oracle(128 << 10), "op9_mixing": mixing.ORACLE}
+    return {"op4_sharding": sharding.oracle(SHARD_BYTES), "sharding_small_limit": sharding.oracle(128 << 10), "op9_mixing": mixing.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_vector_search": vector_search.ORACLE}
