@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hushtext.operators.storage import fresh_path, stored
 
@@ -60,6 +61,35 @@ def aside(docs: DataFrame, names) -> tuple[DataFrame, Callable[[DataFrame], Data
     return docs.withColumnsRenamed(moved), back
 
 
+#: Rows of a table that spread_join broadcasts (some 100 bytes each); beyond, the join shuffles, and keys of more than
+#: HOT_ROWS rows are spread over SALTS keys.
+BROADCAST_ROWS, HOT_ROWS, SALTS = 200_000, 10_000, 64
+
+
+def text_print(text: str = "text"):
+    """A digest of 16 bytes that tells texts apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def spread_join(rows: DataFrame, key: str, by: str, table: DataFrame, its: str, n: str) -> DataFrame:
+    """rows with the columns of table (but n), which is stored and has its as key, once each; n: rows that have the key. Rows
+    whose key it lacks have nulls.
+
+    However many rows a key has, no task gets them all: the table is broadcast, or rows of hot keys are dealt over salts by
+    the hash of column by.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(n)), F.col(key) == F.col(its), "left")
+    is_hot = F.col(n) > HOT_ROWS
+    # hot keys are few: there is one for each HOT_ROWS rows at most
+    few = table.where(is_hot).select(F.col(its).alias("__hot"))
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    spread = rows.join(few, F.col(key) == F.col("__hot"), "left").withColumn("__salt", salt)
+    salted = table.withColumn("__its_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0))))
+    return spread.join(salted, (F.col(key) == F.col(its)) & (F.col("__salt") == F.col("__its_salt")), "left").drop("__hot", "__salt", "__its_salt", n)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
     """The texts of a batch one at a time; null counts as empty."""
     for x in batch.column(name):

@@ -17,13 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtext.llm._common import map_arrow, map_batches, stored
+from hushtext.llm._common import map_arrow, map_batches, spread_join, stored, text_print
 
 #: Rows that a worker packs at once.
 CHUNK_ROWS = 1 << 18
-#: Copied texts (32 bytes each) that are broadcast; beyond, the join shuffles, and texts with more than HOT_ROWS copies
-#: are spread over SALTS keys.
-BROADCAST_TEXTS, HOT_ROWS, SALTS = 200_000, 10_000, 64
 FILTERS = "ABCDE"
 LETTERS, MARKS = bytes(range(65, 91)), b"#$%&*|"
 #: Fixed limits of the five filters.
@@ -54,19 +51,11 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
         fails = np.fromiter((failures(t.as_py()) for t in batch.column("text")), np.int8, batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("hash"), pa.array(fails)], ["doc_id", "part", "hash", "fails"])
 
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.unhex(F.md5(text.cast("binary"))).alias("hash"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text_print().alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(map_arrow(rows, f, "doc_id long, part string, hash binary, fails byte"), "audit-rows")
     copied = rows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copied = stored(copied.select(F.col("hash").alias("copied"), "least", (F.col("n") > HOT_ROWS).alias("hot")), "audit-copied")
-    if copied.count() <= BROADCAST_TEXTS:
-        rows = rows.join(F.broadcast(copied), F.col("hash") == F.col("copied"), "left")
-    else:
-        # rows of hot texts, of which there are few, go over all salts; others have one
-        hot = F.broadcast(copied.where("hot").select(F.col("copied").alias("hot_hash")))
-        spread = rows.join(hot, F.col("hash") == F.col("hot_hash"), "left").withColumn("salt", F.when(F.col("hot_hash").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
-        salted = copied.withColumn("its_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))))
-        rows = spread.join(salted, (F.col("hash") == F.col("copied")) & (F.col("salt") == F.col("its_salt")), "left")
+    copied = stored(copied.select(F.col("hash").alias("copied"), "least", "n"), "audit-copied")
+    rows = spread_join(rows, "hash", "doc_id", copied, "copied", "n")
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
     rows = rows.join(known, F.col("doc_id") == F.col("labelled"), "left")
     bits = [(F.col("fails").bitwiseAND(F.lit(1 << i).cast("byte")) != 0).alias(x) for i, x in enumerate(FILTERS[:4])]

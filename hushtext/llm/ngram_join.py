@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtext.llm._common import map_arrow, map_batches, stored, word_hashes, worker_path
+from hushtext.llm._common import map_arrow, map_batches, stored, text_print, word_hashes, worker_path
 
 WORD = re.compile(r"\w+")
 #: Nodes, and bytes of n-gram sets, of a block of a bucket, on the average.
@@ -172,8 +172,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, print (a digest of the text) and text: rows of one doc_id and print are copies."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_print().alias("print"), "text")
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (null without words), grams (their number), bands."""
+    """doc_id, print, node (null without words), grams (their number), bands."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, known = [], {}
@@ -184,14 +189,15 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 row = known[t] = (node_id(g), len(g), signature(g, bands, rows) if len(g) else None)
             out.append(row)
         node, grams, hashes = zip(*out)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast("int64"), pa.array(node, "binary"), pa.array(grams, "int64"), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "node", "grams", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(node, "binary"), pa.array(grams, "int64"), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "print", "node", "grams", "bands"])
 
-    return map_arrow(docs.select("doc_id", "text"), f, "doc_id long, node binary, grams long, bands array<long>")
+    return map_arrow(_told_apart(docs), f, "doc_id long, print binary, node binary, grams long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, grams (packed hashes) of the wanted nodes (rep: a doc_id that has it, node)."""
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.withColumnRenamed("node", "wanted"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("wanted", "text")
+    """node, set (packed hashes) of the wanted nodes (rep, its_print: doc_id and print of a row that has it, node)."""
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("print") == F.col("its_print"))
+    some = _told_apart(docs).join(wanted.withColumnRenamed("node", "wanted"), same).select("wanted", "text")
 
     def run(batches):
         for batch in batches:
@@ -203,27 +209,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     grams.append(g.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, "binary"), pa.array(grams, "binary")], ["node", "set"])
 
-    # rows that repeat a doc_id can give a node twice
+    # repeated rows give a node more than once
     return map_batches(some, run, "node binary, set binary").dropDuplicates(["node"])
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """doc_id, class_id, n_links: a row for each row of docs.
-
-    Two rows are linked if the Jaccard similarity of their sets of n-word runs is threshold or more; n_links
-    counts the other rows linked to a row, copies included. class_id is the least doc_id of the rows linked
-    to each other, directly or through others. Words are runs of letters, digits and _ in lower case; a text
-    of fewer than n words is one run of all its words; null, empty and wordless texts have no links and are
-    classes of their own (their doc_id). Null doc_ids are less than others, so a class with one has
-    a null class_id; repeated rows stay and link to each other; a very long text is compared whole; an empty table gives
-    no rows; columns other than doc_id and text go.
-    """
+def classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, print, node of each row of docs, and for each node class_id, n_links, and first (known, id, print of
+    the first row of its class, by doc_id and print, null doc_ids first)."""
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
     signed = stored(signatures(docs, n, bands, rows), "join-signatures")
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), "print")
     nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.min_by("bands", order).alias("bands"), F.first("grams").alias("grams"))
-    nodes = stored(nodes.select("node", "copies", F.col("first.known").alias("known"), F.col("first.id").alias("rep"), "bands", "grams"), "join-nodes")
+    nodes = stored(nodes.select("node", "copies", "first", "bands", "grams"), "join-nodes")
     keys = nodes.select("node", "grams", F.posexplode("bands").alias("band", "hash"))
     buckets = keys.groupBy("band", "hash").agg(F.count("*").alias("members"), F.sum("grams").alias("grams"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("node").alias("low")).where("members > 1")
     # of buckets with the same members the first band's sees all their pairs
@@ -233,7 +231,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     n_buckets = first.count()
     members = keys.join(F.broadcast(first) if n_buckets <= BROADCAST_NODES else first, ["band", "hash"])
     members = stored(members.select("node", "band", "hash", "blocks"), "join-members")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("rep", "node")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first.id").alias("rep"), F.col("first.print").alias("its_print"), "node")
     wanted = stored(wanted, "join-wanted")
     sets = _sets(docs, F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, n)
     known = stored(sets.join(nodes.select("node", "copies", "bands"), "node"), "join-sets")
@@ -254,13 +252,42 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     counts = out.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(out.where("up is not null").select(F.col("node").alias("a"), F.col("up").alias("b")))
     classed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classed.groupBy("root").agg(F.min(F.struct("known", "rep")).alias("c")).select("root", F.col("c.rep").alias("class_id"))
-    found = classed.join(least, "root").join(counts, "node", "left").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = classed.groupBy("root").agg(F.min("first").alias("first"))
+    found = classed.drop("first").join(least, "root").join(counts, "node", "left").select("node", F.col("first.id").alias("class_id"), "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "print", "node"), found
+
+
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """doc_id, class_id, n_links: a row for each row of docs.
+
+    Two rows are linked if the Jaccard similarity of their sets of n-word runs is threshold or more; n_links
+    counts the other rows linked to a row, copies included. class_id is the least doc_id of the rows linked
+    to each other, directly or through others. Words are runs of letters, digits and _ in lower case; a text
+    of fewer than n words is one run of all its words; null, empty and wordless texts have no links and are
+    classes of their own (their doc_id). Null doc_ids are less than others, so a class with one has
+    a null class_id; repeated rows stay and link to each other; a very long text is compared whole; an empty table gives
+    no rows; columns other than doc_id and text go.
+    """
+    signed, found = classes(docs, n, threshold, recall)
     alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return signed.where("node is not null").select("doc_id", "node").join(found, "node").select("doc_id", "class_id", "n_links").unionByName(alone)
+    return signed.where("node is not null").select("doc_id", "node").join(found.drop("first"), "node").select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without those whose class has a lesser doc_id. Rows that repeat a doc_id count as one."""
-    later = stored(join(docs, **options).where("doc_id is not null and not doc_id <=> class_id").select("doc_id").distinct(), "join-later")
-    return docs.join(F.broadcast(later) if later.count() <= BROADCAST_NODES else later, "doc_id", "left_anti").select(docs.columns)
+    """One row of docs for each class: the first by doc_id and digest of the text, null doc_ids first; of rows with one
+    doc_id and text, any one. Texts without words are classes of their own, and all stay."""
+    signed, found = classes(docs, **options)
+    rows = signed.where("node is not null").join(found.select("node", "first"), "node")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("print") == F.col("first.print"))
+    rows = rows.groupBy("doc_id", "print").agg(F.bool_or(is_first).alias("stays"), F.count("*").alias("n")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__its"), "stays", "n")
+    rows = stored(rows.where("not stays or n > 1"), "join-later")
+    few = rows.count() <= BROADCAST_NODES
+    named = docs.withColumn("__print", text_print())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__its"))
+    rest = named.join(F.broadcast(rows) if few else rows, same, "left_anti").select(docs.columns)
+    again = rows.where("stays")
+    if again.isEmpty():
+        return rest
+    # the first of its class stands in several rows: one of them stays
+    twice = named.join(F.broadcast(again) if few else again, same, "left_semi").dropDuplicates(["doc_id", "__print"]).select(docs.columns)
+    return rest.unionByName(twice)

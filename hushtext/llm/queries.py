@@ -49,7 +49,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility_rules.judge(_documents(spark, sf_dir).select("doc_id", "text", "lang")).drop("text", "lang")
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    bands = fertility_rules.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return fertility_rules.judge(docs, bands=bands).drop("text", "lang")
 
 
 def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +64,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take(_documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixing_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source a pattern of its own, copies apart: the quotas and the choice of documents, which SQL can express."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    return mixing.take(docs, copies=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_documents(spark, sf_dir))
 
@@ -79,11 +87,11 @@ def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_token_files, op4_sharding, op5_quality_resample, op6_toxicity, op7_fertility_rules, op8_media_chunks, op9_mixing, op10_ngram_join, op11_filter_audit, op12_periodic_runs, op13_vector_search, language_id_pages)} | {
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_token_files, op4_sharding, op5_quality_resample, op6_toxicity, op7_fertility_rules, op8_media_chunks, op9_mixing, op10_ngram_join, op11_filter_audit, op12_periodic_runs, op13_vector_search, language_id_pages, mixing_by_source)} | {
         # the same operator at a limit at which small tables split too
         "sharding_small_limit": lambda spark, sf_dir: sharding.assign(_documents(spark, sf_dir), 128 << 10)[0],
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.oracle(SHARD_BYTES), "sharding_small_limit": sharding.oracle(128 << 10), "op9_mixing": mixing.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_vector_search": vector_search.ORACLE}
+    return {"op4_sharding": sharding.oracle(SHARD_BYTES), "sharding_small_limit": sharding.oracle(128 << 10), "mixing_by_source": mixing.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_vector_search": vector_search.ORACLE}

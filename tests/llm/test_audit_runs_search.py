@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hushtext.llm import filter_audit, periodic_runs, vector_search
+from hushtext.llm import _common, filter_audit, periodic_runs, vector_search
 
 RND = random.Random(23)
 LONG = " ".join(f"w{RND.randrange(3000)}" for _ in range(150_000))
@@ -44,8 +44,8 @@ def _failures(rows):
 @pytest.mark.parametrize("spread", [False, True])
 def test_filter_audit_against_brute_force(spark, monkeypatch, spread):
     if spread:
-        for name, value in (("BROADCAST_TEXTS", 0), ("HOT_ROWS", 3), ("CHUNK_ROWS", 5)):
-            monkeypatch.setattr(filter_audit, name, value)
+        for module, name, value in ((_common, "BROADCAST_ROWS", 0), (_common, "HOT_ROWS", 3), (filter_audit, "CHUNK_ROWS", 5)):
+            monkeypatch.setattr(module, name, value)
     rows, labels = _docs(), _labels()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({x: F.lit("own") for x in ("part", "hash", "good", "fails", "A", "kept")}).repartition(5)
     got = {(r.part, r.filter_order, r.step): r.asDict() for r in filter_audit.interactions(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hushtext.llm import bpe, fertility_rules, language_id, media_chunks, mixing, ngram_join, quality_resample, sharding, token_files, toxicity
@@ -103,7 +104,7 @@ def test_chunks_round_trip(spark, odd):
 def test_quotas_and_flow():
     q = mixing.quotas({"a": 10, "b": 100, "c": 100}, {"a": 1, "b": 1, "c": 2})
     assert q["a"] == 30 and sum(q.values()) == pytest.approx(210) and q["c"] == pytest.approx(2 * q["b"])
-    f = mixing.flow({"x": (10, ["a"]), "y": (10, ["a", "b"])}, {"a": 15, "b": 5})
+    f = mixing.flow({"x": mixing.Pattern.of(10, ["a"]), "y": mixing.Pattern.of(10, ["a", "b"])}, {"a": 15, "b": 5})
     assert f == {("x", "a"): 10, ("y", "a"): 5, ("y", "b"): 5}
 
 
@@ -157,24 +158,54 @@ def test_language_and_toxicity(spark):
 CLEAN = "Is and retitioning ouen the of, nterti thorreou ndernt. Is ndble whst the by for and threea. Ores the oredat the, anntly re.\nErtion on the it is onenerth edonre ontiatth edes erat as on oransh of shat erre rely thha eresinger. Attireheerstsh nd lytionat edhain of hetian a estiin ndeawhst. Theastou with erhesh. Oforlyhe the atedtion hablees thouou on of. Thlyatat of. Onthanen of ortionou orndhe. Thesrewh onwhtien."
 
 
+PROSE = {
+    "en": "The old bridge over the river was closed last winter because the stones had begun to move, and the town decided to repair it before the spring floods arrived. Workers came from the neighbouring villages, and for several months the square in front of the church was full of carts, ropes and timber. When the work was finished, the mayor gave a short speech and everybody walked across together.",
+    "de": "Die alte Brücke über den Fluss wurde im letzten Winter gesperrt, weil sich die Steine bewegt hatten, und die Stadt beschloss, sie vor dem Hochwasser im Frühling zu reparieren. Arbeiter kamen aus den benachbarten Dörfern, und einige Monate lang war der Platz vor der Kirche voller Wagen, Seile und Balken. Als die Arbeit beendet war, hielt der Bürgermeister eine kurze Rede.",
+    "fr": "Le vieux pont sur la rivière a été fermé l'hiver dernier parce que les pierres avaient commencé à bouger, et la ville a décidé de le réparer avant les crues du printemps. Des ouvriers sont venus des villages voisins, et pendant plusieurs mois la place devant l'église était pleine de charrettes, de cordes et de poutres. Quand le travail fut terminé, le maire prononça un bref discours.",
+    "es": "El viejo puente sobre el río fue cerrado el invierno pasado porque las piedras habían empezado a moverse, y el pueblo decidió repararlo antes de las crecidas de la primavera. Llegaron obreros de los pueblos vecinos, y durante varios meses la plaza delante de la iglesia estuvo llena de carros, cuerdas y maderas. Cuando terminó el trabajo, el alcalde pronunció un breve discurso.",
+}
+
+
 def test_bands_reject(spark):
+    """Without labels: prose of four languages, and the text of the tables, pass; encodings and few words in turn don't."""
     rnd = random.Random(7)
     base64 = " ".join("".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=76)) for _ in range(40))
-    few = " ".join(rnd.choices("the of and ther shat oran".split(), k=300))
+    few = " ".join(rnd.choices("the of and".split(), k=300))
     rows = [(0, CLEAN, "en"), (1, base64, "en"), (2, few, "en"), (3, base64, "de"), (4, few, None)]
+    rows += [(10 + i, t, x) for i, (t, x) in enumerate([(t, x) for k, t in PROSE.items() for x in (k, None)])]
     r = {x.doc_id: x for x in fertility_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not any(x.base_failed for x in r.values())
-    assert [r[i].kept for i in range(5)] == [True, False, False, False, False]
-    assert len({fertility_rules.BANDS[k] for k in ("en", "de", "fr", "es")}) == 4
-
-
-def test_band_fit():
-    rnd = np.random.default_rng(1)
-    n = rnd.integers(64, 4096, 4000)
-    bits = 1 + 0.5 * np.log2(n) + rnd.uniform(-0.1, 0.1, 4000)
-    b = fertility_rules.fit_band(rnd.uniform(2, 3, 4000), bits, n, 0.05, rnd.uniform(4, 5, 4000))
-    assert (b.chars_low, b.chars_high, b.entropy_low, b.entropy_high, b.second_low, b.second_high) == pytest.approx((1.9, 3.1, -0.12, 0.12, 3.9, 5.1), abs=0.02)
-    assert np.polyval(b.curve, 10) == pytest.approx(6, abs=0.02)
+    assert [r[i].kept for i in range(5)] == [True, False, False, False, False] and all(r[10 + i].kept for i in range(8))
+
+
+def test_bands_fitted_to_labels(spark):
+    """Fitted to one half of the labels of the tables, judged on the other: junk goes, good rows and ordinary prose stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string")) % 2
+    bands = fertility_rules.fit_bands(docs, labels.where(half == 0))
+    assert set(bands) == {"en", "de", "fr", "es"} | set(fertility_rules.DEFAULTS) and len(set(bands.values())) == len(bands)
+    known = docs.join(labels.where(half == 1), "doc_id").select("doc_id", "text", "lang", "quality")
+    rows = fertility_rules.judge(known, bands=bands).where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    share = {r.quality: r.kept for r in rows}
+    assert share[1] > 0.98 and share[0] < 0.05
+    prose = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(PROSE.items())], "doc_id long, text string, lang string")
+    assert all(r.kept for r in fertility_rules.judge(prose, bands=bands).collect())
+    dump = spark.createDataFrame([(i, " ".join(f"{w}$$$ %%%" for w in t.split()), k) for i, (k, t) in enumerate(PROSE.items())], "doc_id long, text string, lang string")
+    assert not any(r.kept for r in fertility_rules.judge(dump, bands=bands).collect())
+    assert fertility_rules.fit_bands(docs.limit(0), labels) == fertility_rules.fit_bands(docs, labels.limit(0)) == fertility_rules.DEFAULTS
+
+
+def test_fitted_limits(spark, monkeypatch):
+    """Quantiles of the good rows that pass the base rules, entropy around a curve; held against NumPy."""
+    made = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit("xx").alias("lang"))
+    labels = made.select("doc_id", F.lit(1).alias("quality"))
+    b = fertility_rules.fit_bands(made, labels)["xx"]
+    rows = [r for r in fertility_rules.judge(made).collect() if not r.base_failed]
+    x = np.clip(np.log2([r.n_tokens for r in rows]), np.log2(20), b.span[1])
+    bits = np.array([r.token_entropy for r in rows]) - np.polyval(np.polyfit(x, [r.token_entropy for r in rows], 2), x)
+    low = lambda v: (lambda a, m: a - fertility_rules.MARGIN * (m - a))(*np.quantile(v, [fertility_rules.TAIL, 0.5], method="inverted_cdf"))
+    assert b.chars_low == pytest.approx(low([r.chars_per_token for r in rows]), abs=1e-6)
+    assert b.second_low == pytest.approx(low([r.second_chars_per_token for r in rows]), abs=1e-6) and b.entropy_low == pytest.approx(low(bits), abs=1e-3)
 
 
 def test_toxic_scores_keep_their_scale(spark, monkeypatch):
