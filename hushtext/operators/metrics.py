@@ -16,8 +16,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushtext.functions.vectors import dot, norm
-from hushtext.operators.embedding import hashed_rows
 from hushtext.operators.stemming import stem
 
 
@@ -90,12 +88,6 @@ def rouge(original: Column, sanitized: Column, stemmed: bool = True) -> Column:
     return run(original, sanitized)
 
 
-def token_vectors(text: str | None, dim: int = 64, most: int = 512) -> tuple[list[str], np.ndarray]:
-    """Tokens and their vectors without a model: hashed runs of three characters of each, as far as most tokens."""
-    words = re.findall(r"\w+|[^\w\s]", (text or "").lower())[:most]
-    return words, hashed_rows([[f"^{w}$"[i : i + 3] for i in range(len(w))] for w in words], dim)
-
-
 def greedy_match(original: np.ndarray, sanitized: np.ndarray) -> dict[str, float]:
     """Precision, recall and F of matching each of two lists of unit vectors with its nearest in the other. An empty list scores 0."""
     if not len(original) or not len(sanitized):
@@ -108,38 +100,27 @@ def greedy_match(original: np.ndarray, sanitized: np.ndarray) -> dict[str, float
 _MATCHED = pa.struct([(x, pa.float64()) for x in ("precision", "recall", "f1")])
 
 
-def bert_scores_of_texts(original: Column, sanitized: Column, load: Callable[[], Callable[[str], np.ndarray]] | None = None) -> Column:
-    """Precision, recall and F of greedy matching of token vectors. load makes a function from a text to vectors of its
-    tokens, once in a worker; without it token_vectors serves, whose quality isn't that of a model."""
+def bert_scores_of_texts(original: Column, sanitized: Column, load: Callable[[], Callable[[str], np.ndarray]]) -> Column:
+    """Precision, recall and F of greedy matching of a model's token vectors. load makes a function from a text to vectors
+    of its tokens, once in a worker; see word_vectors for what serves without a model."""
     held: list = []
 
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         if not held:
-            held.append(load() if load else lambda t: token_vectors(t)[1])
+            held.append(load())
         return pa.array([greedy_match(held[0](x), held[0](y)) for x, y in zip(a.to_pylist(), b.to_pylist())], _MATCHED)
 
     return F.arrow_udf(run, "struct<precision:double,recall:double,f1:double>")(original, sanitized)
 
 
-def bert_scores(original: Column, sanitized: Column) -> Column:
-    """Precision, recall and F of greedy matching of two lists of token vectors by cosine. An empty list scores 0."""
-    cosine = lambda a, b: dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
-    best = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: cosine(x, y)))), F.lit(0.0), lambda s, v: s + v) / F.size(xs)
-    empty = (F.size(original) <= 0) | (F.size(sanitized) <= 0)
-    p, r = F.when(empty, 0.0).otherwise(best(sanitized, original)), F.when(empty, 0.0).otherwise(best(original, sanitized))
-    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
-
-
 def perplexity(rows: DataFrame, nll: str = "nll", n: str = "n_tokens") -> DataFrame:
     """perplexity: the exponential of the mean loss of all tokens. rows: mean loss and number of tokens of each text."""
     return rows.agg(F.exp(F.sum(F.col(nll) * F.col(n)) / F.sum(n)).alias("perplexity"))
 
 
 def word_losses(rows: DataFrame, text: str, corpus: DataFrame, corpus_text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, nll and n_tokens of each row without a model: losses under the word counts of a corpus, plus one each.
-
-    Stands in for a language model; its perplexities compare only with one another. key: one or more columns' struct.
-    """
+    """key, nll and n_tokens of each row: losses under the word counts of a corpus, plus one each. The simplest model, to
+    compare others with; see language_model for the one in use. key: one or more columns' struct."""
     words = lambda df, t: F.explode(F.filter(F.split(F.lower(F.col(t)), r"\s+"), lambda x: x != ""))
     known = corpus.select(words(corpus, corpus_text).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     total, kinds = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushtext import sources
 from hushtext.functions import noise, text, vectors
-from hushtext.operators import documents, embedding, metrics, privacy, retrieval
+from hushtext.operators import documents, embedding, index, language_model, metrics, privacy, retrieval, word_vectors
 from hushtext.operators.storage import stored
 from hushtext.plans.sanitize import Settings, sanitize, sanitize_paired
 
@@ -124,10 +124,35 @@ def top_clusters(spark, d):
 
 @query(f"WITH {CENT}, {TOP} SELECT t.vec_id, count(*) AS n, sum(e.vec_id)::BIGINT AS ids FROM top t JOIN embeddings e ON e.label = t.cluster WHERE cluster_rank <= 3 GROUP BY t.vec_id")
 def candidate_pool(spark, d):
+    """Each query's candidates, member by member."""
     v = _t(spark, d, "embeddings")
-    pool = v.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("m"), F.sum("vec_id").alias("s"))
+    pool = v.select(F.col("label").alias("cluster"), F.col("vec_id").alias("pool_id"))
     probes = retrieval.top_clusters(v, ["vec_id"], "embedding", _centroids(spark, d), filled=retrieval.filled_clusters(pool))
-    return retrieval.candidates(probes, pool).groupBy("vec_id").agg(F.sum("m").alias("n"), F.sum("s").alias("ids"))
+    return retrieval.candidates(probes, pool).groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("pool_id").alias("ids"))
+
+
+# means of vectors by the remainder of vec_id: more centroids than one cell of an index holds
+_MANY = "mean AS (SELECT c, i, round(avg(x), 6) AS x FROM (SELECT vec_id % 300 AS c, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY c, i), cent AS (SELECT c, list(x ORDER BY i) AS centroid FROM mean GROUP BY c)"
+
+
+def _many(spark, d):
+    v = _t(spark, d, "embeddings").select((F.col("vec_id") % 300).cast("int").alias("cluster"), F.posexplode("embedding").alias("i", "x"))
+    means = v.groupBy("cluster", "i").agg(F.round(F.avg("x"), 6).alias("x"))
+    return means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("centroid"))
+
+
+@query(f"WITH {_MANY} SELECT vec_id, cluster::INT AS cluster, cluster_rank::INT AS cluster_rank, round(sim, 6) AS sim FROM (SELECT vec_id, c AS cluster, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, c) AS cluster_rank, sim FROM (SELECT vec_id, c, round(list_dot_product(embedding::DOUBLE[], centroid), 9) AS sim FROM embeddings, cent)) WHERE cluster_rank <= 5")
+def index_search(spark, d):
+    """Top clusters by cells of centroids, of which those that can't win are skipped."""
+    return retrieval.top_clusters(_t(spark, d, "embeddings"), ["vec_id"], "embedding", _many(spark, d), 5).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {_MANY} SELECT vec_id, c::INT AS cluster FROM (SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(embedding::DOUBLE[], centroid) - list_dot_product(centroid, centroid) / 2, 12) DESC, c) AS r FROM embeddings, cent) WHERE r = 1")
+def nearest_centre(spark, d):
+    """Labels of an index: the cluster of the nearest centre."""
+    cells = index.held(_many(spark, d))
+    centres = index.Cells.of(cells.names, index.with_half_square(cells.vectors))
+    return _t(spark, d, "embeddings").select("vec_id", index.labels(centres)(vectors.doubles(F.col("embedding"))).alias("cluster"))
 
 
 @query("SELECT label AS cluster, array_to_string(list(vec_id ORDER BY vec_id), ',') AS members FROM embeddings GROUP BY label")
@@ -152,6 +177,22 @@ def privatize(spark, d):
     return v.select("vec_id", F.posexplode(vectors.rounded(noise.noisy(F.col("embedding"), F.lit(0.5), "test", F.col("vec_id")))).alias("dim", "value"))
 
 
+# 52 bits of eight bytes of a digest, least byte first
+_BITS = "concat(substr(s, pos + 15, 2), substr(s, pos + 13, 2), substr(s, pos + 11, 2), substr(s, pos + 9, 2), substr(s, pos + 7, 2), substr(s, pos + 5, 2), substr(s, pos + 3, 1))"
+
+
+@query(f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT - 1 AS dim FROM embeddings),
+h AS (SELECT *, sha256('test|100.0|' || vec_id || '|' || (dim // 4)) AS s, 32 * ((dim % 4) // 2) AS pos FROM x),
+u AS (SELECT *, (('0x' || {_BITS})::BIGINT + 0.5) / 4503599627370496.0 AS a, (('0x' || {_BITS.replace("pos +", "pos + 16 +")})::BIGINT + 0.5) / 4503599627370496.0 AS b FROM h),
+n AS (SELECT vec_id, dim, x + 0.5 * sqrt(-2 * ln(a)) * CASE WHEN dim % 2 = 0 THEN cos(2 * pi() * b) ELSE sin(2 * pi() * b) END AS y FROM u)
+SELECT vec_id, dim, round(y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 6) AS value FROM n""")
+def gaussian_mechanism(spark, d):
+    """The noise that plans use, from SHA-256, and the unit norm after it."""
+    v = _t(spark, d, "embeddings")
+    made = privacy.privatized(F.col("embedding"), F.lit(0.5), "test", F.lit(100.0), F.col("vec_id"))
+    return v.select("vec_id", F.posexplode(vectors.rounded(made)).alias("dim", "value"))
+
+
 @query("WITH m AS (SELECT vec_id, dim, avg(x) OVER (PARTITION BY vec_id // 10, dim ORDER BY vec_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT - 1 AS dim FROM embeddings)) SELECT vec_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS value FROM m")
 def chain_denoise(spark, d):
     out = retrieval.chain_denoise(_vectors(spark, d), "doc_id", "pos", "embedding")
@@ -178,6 +219,14 @@ def retrieve_no_prev(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query()
+def retrieval_blocks(spark, d):
+    """Pairs of a private row and a block of its clusters: how many there are, and how many are read."""
+    v = _vectors(spark, d)
+    pool = v.where("label < 5").select(F.col("vec_id").alias("pool_id"), F.col("label").alias("cluster"), "embedding")
+    return retrieval.block_shares(v.where("label >= 5").select("doc_id", "pos", vectors.doubles(F.col("embedding")).alias("noisy")), pool, _centroids(spark, d))
+
+
 def _pool(spark, d):
     docs = _t(spark, d, "documents")
     found, split = stored(embedding.embed(documents.split_sentences(docs), "sentence", dim=16), "sentences"), documents.public_split(docs)
@@ -285,11 +334,39 @@ def perplexity_agg(spark, d):
     return metrics.perplexity(_t(spark, d, "documents").select(((1 + F.col("doc_id") % 7) / 3.0).alias("nll"), F.col("n_chars").alias("n_tokens"))).select(F.round("perplexity", 6).alias("perplexity"))
 
 
-@query("WITH v AS (SELECT vec_id, vec_id // 10 AS doc, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT a.doc AS doc_id, a.vec_id AS x, b.vec_id AS y, list_dot_product(a.e, b.e) / greatest(sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 1e-12) AS s FROM v a JOIN v b ON b.doc = a.doc + 1), r AS (SELECT doc_id, avg(s) AS r FROM (SELECT doc_id, x, max(s) AS s FROM c GROUP BY ALL) GROUP BY doc_id), p AS (SELECT doc_id, avg(s) AS p FROM (SELECT doc_id, y, max(s) AS s FROM c GROUP BY ALL) GROUP BY doc_id) SELECT doc_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM p JOIN r USING (doc_id)")
+@query("""WITH df AS (SELECT label, ln(((SELECT count(DISTINCT vec_id // 10) FROM embeddings) + 1.0) / (n + 1)) AS w FROM (SELECT label, count(DISTINCT vec_id // 10) AS n FROM embeddings GROUP BY label)),
+v AS (SELECT vec_id, vec_id // 10 AS doc, embedding::DOUBLE[] AS e, w FROM embeddings JOIN df USING (label)),
+c AS (SELECT a.doc AS doc_id, a.vec_id AS x, b.vec_id AS y, a.w AS wa, b.w AS wb, list_dot_product(a.e, b.e) / greatest(sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 1e-12) AS s FROM v a JOIN v b ON b.doc = a.doc + 1),
+r AS (SELECT doc_id, CASE WHEN sum(wa) > 0 THEN sum(s * wa) / sum(wa) ELSE avg(s) END AS r FROM (SELECT doc_id, x, wa, max(s) AS s FROM c GROUP BY ALL) GROUP BY doc_id),
+p AS (SELECT doc_id, CASE WHEN sum(wb) > 0 THEN sum(s * wb) / sum(wb) ELSE avg(s) END AS p FROM (SELECT doc_id, y, wb, max(s) AS s FROM c GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM p JOIN r USING (doc_id)""")
 def bertscore_match(spark, d):
-    v = _vectors(spark, d).groupBy("doc_id").agg(F.collect_list("embedding").alias("e"))
-    pairs = v.join(v.select((F.col("doc_id") - 1).alias("doc_id"), F.col("e").alias("f")), "doc_id")
-    return pairs.select("doc_id", metrics.bert_scores(F.col("e"), F.col("f")).alias("s")).select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+    """The matching that plans use, of the rows of ten vectors with the next ten, weighed by how rare their labels are."""
+    v = _vectors(spark, d)
+    n = v.select("doc_id").distinct().agg(F.count("*").alias("docs"))
+    df = v.groupBy("label").agg(F.countDistinct("doc_id").alias("df")).join(F.broadcast(n))  # one row
+    rare = df.select("label", F.ln((F.col("docs") + 1.0) / (F.col("df") + 1)).alias("w"))
+    rows = v.join(rare, "label").groupBy("doc_id").agg(F.collect_list(F.struct(vectors.doubles(F.col("embedding")).alias("e"), "w")).alias("r"))
+    pairs = rows.join(rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("r").alias("q")), "doc_id")
+    found = word_vectors.matched(F.col("r.e"), F.col("q.e"), F.col("r.w"), F.col("q.w"))
+    return pairs.select("doc_id", found.alias("s")).select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_RUNS = """{0}t AS (SELECT {1} AS id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT {1}, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM {2})),
+{0}r AS (SELECT id, coalesce(lag(w, 2) OVER o, '') AS a, coalesce(lag(w) OVER o, '') AS b, w AS c FROM {0}t WINDOW o AS (PARTITION BY id ORDER BY i))"""
+
+
+@query(f"""WITH {_RUNS.format("d", "doc_id", "documents")}, {_RUNS.format("q", "item_id", "benchmark")},
+c3 AS (SELECT a, b, c, count(*) AS n FROM dr GROUP BY ALL), x3 AS (SELECT a, b, sum(n) AS t, sum(least(n, 0.75::DOUBLE)) AS o FROM c3 GROUP BY ALL),
+c2 AS (SELECT b, c, count(*) AS n FROM c3 GROUP BY ALL), x2 AS (SELECT b, sum(n) AS t, sum(least(n, 0.75::DOUBLE)) AS o FROM c2 GROUP BY ALL),
+c1 AS (SELECT c, count(*) AS n FROM c2 GROUP BY ALL), x1 AS (SELECT sum(n) AS t, count(*) AS k, sum(least(n, 0.75::DOUBLE)) AS o FROM c1),
+s AS (SELECT q.id, coalesce(greatest(c3.n - 0.75::DOUBLE, 0) / x3.t, 0) + coalesce(x3.o / x3.t, 1) * (coalesce(greatest(c2.n - 0.75::DOUBLE, 0) / x2.t, 0) + coalesce(x2.o / x2.t, 1) * (coalesce(greatest(c1.n - 0.75::DOUBLE, 0), 0) / x1.t + x1.o / x1.t / (x1.k + 1))) AS p
+  FROM qr q CROSS JOIN x1 LEFT JOIN c1 ON c1.c = q.c LEFT JOIN x2 ON x2.b = q.b LEFT JOIN c2 ON c2.b = q.b AND c2.c = q.c LEFT JOIN x3 ON x3.a = q.a AND x3.b = q.b LEFT JOIN c3 ON c3.a = q.a AND c3.b = q.b AND c3.c = q.c)
+SELECT id AS item_id, round(-avg(ln(p)), 6) AS nll, count(*) AS n_tokens FROM s GROUP BY id""")
+def ngram_losses(spark, d):
+    """Losses of the benchmark's texts under the language model of all documents: the perplexity that plans report."""
+    model = language_model.fit(_t(spark, d, "documents"))
+    return language_model.losses(_t(spark, d, "benchmark"), "text", model, "item_id").withColumn("nll", F.round("nll", 6))
 
 
 @query("SELECT doc_id, epsilon, epsilon / n AS epsilon_sentence FROM (" + f"{SENT} SELECT doc_id, n FROM cnt WHERE n > 0" + ") c, (VALUES (250.0::DOUBLE), (500.0)) e(epsilon)")

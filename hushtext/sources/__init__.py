@@ -12,6 +12,8 @@ from hushtext.functions.text import int_label
 
 #: Rows of each split that are taken; 0 is all.
 HEADS = {"amazon": {"train": 25_000, "test": 25_000}, "agnews": {"train": 25_000, "test": 7_600}}
+#: Names of the datasets in the local hub cache.
+HUB_NAMES = {"imdb": "imdb", "amazon": "amazon_polarity", "agnews": "ag_news"}
 #: Columns of text and label.
 COLUMNS = {"imdb": ("text", "label"), "snips": ("text", "label"), "amazon": ("content", "label"), "drugscom": ("review", "rating"), "agnews": ("text", "label")}
 
@@ -60,13 +62,21 @@ def read_parquet_snapshot(spark: SparkSession, root: str, text: str = "text", la
     return rows.where(wanted)
 
 
-def snapshot_folder(repo: str, home: str, config: str = "plain_text") -> str | None:
-    """The last snapshot of a dataset in a local hub cache: config's folder, else that named default; None if there is none."""
-    base = os.path.join(home, "hub", "datasets--" + repo.replace("/", "--"), "snapshots")
-    for snapshot in sorted(os.listdir(base), reverse=True) if os.path.isdir(base) else []:
-        for name in (config, "default"):
-            if os.path.isdir(folder := os.path.join(base, snapshot, name)):
-                return folder
+def hub_home() -> str:
+    """The local hub cache: HF_HOME, else its usual place."""
+    return os.environ.get("HF_HOME") or os.path.expanduser("~/.cache/huggingface")
+
+
+def snapshot_folder(spark: SparkSession, repo: str, home: str, config: str = "plain_text") -> str | None:
+    """The last snapshot of a dataset in a local hub cache: config's folder, else that named default; None if there is
+    none with Parquet files. The cache may be in any store that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for name in (config, "default"):
+        pattern = hadoop.Path(f"{home.rstrip('/')}/hub/datasets--{repo.replace('/', '--')}/snapshots/*/{name}")
+        files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = sorted(str(x.getPath()) for x in files.globStatus(pattern) or [])
+        if found and files.globStatus(hadoop.Path(f"{found[-1]}/*.parquet")):
+            return found[-1]
     return None
 
 
@@ -83,8 +93,15 @@ def _columns(name: str) -> Callable:
 READERS: dict[str, Callable] = {name: _columns(name) for name in COLUMNS} | {"atis": lambda spark, root: read_csv_pair(spark, f"{root}/train.csv", f"{root}/test.csv")}
 
 
-def load(spark: SparkSession, name: str, root: str, max_samples: int = 0) -> DataFrame:
-    """A dataset by name; the first max_samples documents of each split, or all for 0."""
+def load(spark: SparkSession, name: str, root: str | None = None, max_samples: int = 0, home: str | None = None) -> DataFrame:
+    """A dataset by name; the first max_samples documents of each split, or all for 0.
+
+    Without root, the dataset's last snapshot in the local hub cache (home, else hub_home()) is read.
+    """
     if name not in READERS:
         raise ValueError(f"unknown dataset {name}: one of {sorted(READERS)}")
+    if root is None:
+        root = snapshot_folder(spark, HUB_NAMES[name], home or hub_home()) if name in HUB_NAMES else None
+        if root is None:
+            raise ValueError(f"no snapshot of {name} in the local hub cache: give its folder")
     return head(READERS[name](spark, root), max_samples)
