@@ -29,13 +29,17 @@ def head(docs: DataFrame, most: int) -> DataFrame:
 
 
 def read_csv_pair(spark: SparkSession, train: str, test: str) -> DataFrame:
-    """Two CSV files with a header and columns text and label; label_raw keeps labels that are no numbers.
+    """Two CSV files, or folders of them, with a header and columns text and label; label_raw keeps labels that are no numbers.
 
-    Quoted fields may span lines, so a file is one partition, and doc_id its row's number.
+    Quoted fields may span lines, so a file isn't cut; doc_id is a row's place, by file name and row.
     """
     both = None
     for split, path in (("train", train), ("test", test)):
-        rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8").withColumn("doc_id", F.monotonically_increasing_id())
+        rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+        rows = rows.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.monotonically_increasing_id()})
+        files = rows.groupBy("__file").agg(F.min("__row").alias("__first"), F.count("*").alias("n"))  # a row a file
+        files = files.select("__file", (F.sum("n").over(Window.orderBy("__file")) - F.col("n") - F.col("__first")).alias("__base"))
+        rows = rows.join(F.broadcast(files), "__file").withColumn("doc_id", F.col("__base") + F.col("__row"))
         rows = rows.select(F.lit(split).alias("split"), "doc_id", "text", int_label(F.col("label")).alias("label"), F.col("label").alias("label_raw"))
         both = rows if both is None else both.unionByName(rows)
     return both

@@ -255,10 +255,29 @@ def test_readers(spark, tmp_path, monkeypatch):
         (tmp_path / f"{split}.csv").write_text('text,label\n"two\nlines, ""quoted""",3\nplain,odd\n', encoding="utf-8")
     rows = sources.load(spark, "atis", str(tmp_path)).where("split = 'train'").orderBy("doc_id").collect()
     assert [(r.doc_id, r.text, r.label) for r in rows] == [(0, 'two\nlines, "quoted"', 3), (1, "plain", None)]
+    for part, texts in (("b", ["b0", "b1"]), ("a", ["a0", "a1", "a2"])):  # a folder of files counts on from file to file
+        for split in ("train", "test"):
+            (tmp_path / "many" / f"{split}.csv").mkdir(parents=True, exist_ok=True)
+            (tmp_path / "many" / f"{split}.csv" / f"{part}.csv").write_text("text,label\n" + "".join(f"{t},1\n" for t in texts), encoding="utf-8")
+    rows = sources.load(spark, "atis", str(tmp_path / "many")).where("split = 'test'").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in rows] == list(enumerate(["a0", "a1", "a2", "b0", "b1"]))
     with pytest.raises(ValueError):
         sources.load(spark, "nothing", str(folder))
 
 
+def test_split_and_pool_of_many_ranges(spark, monkeypatch):
+    """Ranges as small as can be give what one would."""
+    docs = spark.createDataFrame([(i, " ".join(f"Sentence {j} of {i}." for j in range(i % 4))) for i in range(300)], "doc_id long, text string")
+    whole = documents.public_split(docs, max_public=120).collect()
+    pool = documents.public_pool(documents.split_sentences(docs), documents.public_split(docs)).collect()
+    monkeypatch.setattr(documents, "BUCKET_DOCS", 0.01)
+    monkeypatch.setattr(documents, "RANGE_DOCS", 1)
+    assert Counter(documents.public_split(docs, max_public=120).collect()) == Counter(whole) and len(whole) == 270
+    assert Counter(documents.public_pool(documents.split_sentences(docs), documents.public_split(docs)).collect()) == Counter(pool)
+    rank = {r.doc_id: r.split_rank for r in documents.public_split(docs).collect()}
+    assert [r.pool_id for r in sorted(pool, key=lambda r: (rank[r.doc_id], r.pos))] == list(range(len(pool)))
+
+
 def test_hash_embedding(spark):
     import hashlib
 
