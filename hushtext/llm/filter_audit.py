@@ -25,7 +25,6 @@ FILTERS = "ABCDE"
 LETTERS, MARKS = bytes(range(65, 91)), b"#$%&*|"
 #: Fixed limits of the five filters.
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_CAPITAL_PERCENT = 200, 50, 2
-COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
 def failures(text: str) -> int:

@@ -12,6 +12,7 @@ checked size, or by a salted shuffle beyond it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,9 +79,64 @@ class TextModel:
         return out * TEXT_TEMPER
 
 
+_LANG = re.compile(r"\slang\s*=\s*[\"']?([a-z]{2,3})", re.I | re.A)
+_HTML, _OPEN = re.compile("<html", re.I | re.A), re.compile(r"<(script|style)\b", re.I | re.A)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I | re.A) for name in ("script", "style")}
+_ENTITY = re.compile(r"&#?\w+;", re.A)
+
+
+def declared_in(html: str) -> str | None:
+    """The lang attribute of the first html tag that has one, the last one in it, without its region. Each tag is
+    searched once, as far as its end, so time grows with the page alone."""
+    at = 0
+    while m := _HTML.search(html, at):
+        end = html.find(">", m.end())
+        end = len(html) if end < 0 else end
+        if found := _LANG.findall(html, m.end(), end):
+            return found[-1].lower()
+        at = end
+    return None
+
+
+def text_in(html: str) -> str:
+    """A page's text: without scripts, styles, comments and tags; those that are never closed are text, as is a lone <.
+
+    What is looked for in vain once isn't looked for again: one pass over the page, whatever it holds.
+    """
+    out, at, seen = [], 0, 0
+    lost: set[str] = set()
+    while m := _OPEN.search(html, seen):
+        name = m.group(1).lower()
+        end = None if name in lost else _CLOSE[name].search(html, m.end())
+        if end:
+            out += html[at : m.start()], " "
+            at = seen = end.end()
+        else:
+            lost.add(name)
+            seen = m.end()
+    bare = "".join([*out, html[at:]])
+    out, at, seen = [], 0, 0
+    lost.clear()
+    while (start := bare.find("<", seen)) >= 0:
+        end = -1
+        for opening, closing in (("<!--", "-->"), ("<", ">")):
+            if closing not in lost and bare.startswith(opening, start):
+                end = bare.find(closing, start + len(opening))
+                if end >= 0:
+                    end += len(closing)
+                    break
+                lost.add(closing)
+        if end >= 0:
+            out += bare[at:start], " "
+            at = seen = end
+        else:
+            seen = start + 1
+    return _ENTITY.sub(" ", "".join([*out, bare[at:]]))
+
+
 def declared_language(html) -> "F.Column":
-    """The lang attribute of a page's html element, without its region."""
-    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
+    """declared_in of a column."""
+    return F.arrow_udf(lambda x: pa.array([None if t is None else declared_in(t) for t in x.to_pylist()], pa.string()), "string")(html)
 
 
 def host_of(url) -> "F.Column":
@@ -92,9 +148,8 @@ def suffix_of(host) -> "F.Column":
 
 
 def page_text(html) -> "F.Column":
-    """A page's text: without scripts, styles and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->|<[^>]*>", " "), r"&#?\w+;", " ")
+    """text_in of a column."""
+    return F.arrow_udf(lambda x: pa.array([None if t is None else text_in(t) for t in x.to_pylist()], pa.string()), "string")(html)
 
 
 def fit_text(items: DataFrame, languages: list[str]) -> TextModel:
