@@ -98,7 +98,8 @@ def flow(patterns: dict[str, Pattern], targets: dict, costs: tuple = REPEAT_COST
 
 
 def _network(patterns: dict[str, Pattern], targets: dict, costs: tuple) -> dict[tuple[str, object], int]:
-    """flow() by successive shortest paths in whole words."""
+    """flow() in whole words, by shortest paths: all paths of the least cost at once, then those of the next one, so there
+    are as many rounds as there are costs of a path, not as patterns."""
     names = [("start",), ("end",), *[("p", p) for p in patterns], *[("s", s) for s in targets]]
     node = {x: i for i, x in enumerate(names)}
     head, room, price, out = [], [], [], [[] for _ in names]
@@ -120,27 +121,60 @@ def _network(patterns: dict[str, Pattern], targets: dict, costs: tuple) -> dict[
     for s, target in targets.items():
         edge(("s", s), ("end",), round(target), 0)
     while True:
-        far, came, line, queued = [float("inf")] * len(names), [-1] * len(names), deque([0]), {0}
+        far, line, queued = [float("inf")] * len(names), deque([0]), {0}
         far[0] = 0
         while line:
             x = line.popleft()
             queued.discard(x)
             for e in out[x]:
                 if room[e] and far[x] + price[e] < far[head[e]]:
-                    far[head[e]], came[head[e]] = far[x] + price[e], e
+                    far[head[e]] = far[x] + price[e]
                     if head[e] not in queued:
                         queued.add(head[e])
                         line.append(head[e])
-        if came[1] < 0:
+        if far[1] == float("inf"):
             return {k: room[e ^ 1] for k, e in links.items()}
-        path, x = [], 1
-        while x:
-            path.append(came[x])
-            x = head[came[x] ^ 1]
-        most = min(room[e] for e in path)
-        for e in path:
-            room[e] -= most
-            room[e ^ 1] += most
+        _fill(head, room, price, out, far)
+
+
+def _fill(head: list, room: list, price: list, out: list, far: list) -> None:
+    """Sends along edges of shortest paths what they take, until no such path is left: rounds of paths of the fewest edges."""
+    while True:
+        depth = {0: 0}
+        line = deque([0])
+        while line and 1 not in depth:
+            x = line.popleft()
+            for e in out[x]:
+                y = head[e]
+                if room[e] and y not in depth and far[x] + price[e] == far[y]:
+                    depth[y] = depth[x] + 1
+                    line.append(y)
+        if 1 not in depth:
+            return
+        at, path, x = dict.fromkeys(depth, 0), [], 0
+        while True:
+            if x == 1:
+                most = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= most
+                    room[e ^ 1] += most
+                first = next(i for i, e in enumerate(path) if not room[e])
+                x = head[path[first] ^ 1]
+                del path[first:]
+                continue
+            while at[x] < len(out[x]):
+                e = out[x][at[x]]
+                if room[e] and far[x] + price[e] == far[head[e]] and depth.get(head[e]) == depth[x] + 1:
+                    break
+                at[x] += 1
+            else:
+                if not path:
+                    break
+                x = head[path.pop() ^ 1]
+                at[x] += 1
+                continue
+            path.append(e)
+            x = head[e]
 
 
 def word_count(text: Column) -> Column:

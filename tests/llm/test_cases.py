@@ -239,6 +239,30 @@ def test_mix_of_overlapping_sources(spark):
     assert abs(sum(taken.values()) - sum(sent.values())) <= 30 * len(patterns) and abs(cost(taken) - cost(sent)) <= 3 * 30 * len(patterns)
 
 
+def test_flow_of_many_patterns():
+    """As many rounds as costs: time grows with the patterns. All quotas that can be filled are."""
+    import time
+
+    rnd = random.Random(2)
+    sources = [f"s{i}" for i in range(20)]
+    patterns = {}
+    for i in range(20_000):
+        mine = sources[i : i + 1] if i < 20 else rnd.sample(sources, rnd.randrange(2, 8))
+        words = rnd.randrange(100_000, 200_000) if i < 20 else rnd.randrange(20, 400)
+        rooms = {s: 3 * words * rnd.randrange(1, 4) for s in mine}
+        patterns[str(i)] = mixing.Pattern(words, rooms, sum(rooms.values()))
+    held = {s: sum(p.rooms.get(s, 0) for p in patterns.values()) / 3 for s in sources}
+    goal = mixing.quotas(held, mixing.cycle_weights(sources))
+    start = time.time()
+    sent = mixing.flow(patterns, goal)
+    assert time.time() - start < 60
+    into = Counter()
+    for (p, s), n in sent.items():
+        assert 0 <= n <= patterns[p].rooms[s]
+        into[s] += n
+    assert all(into[s] == round(goal[s]) for s in sources)
+
+
 def test_levels():
     assert mixing.levels(10, 25) == [(10, 0), (10, 1), (5, 3)] and mixing.levels(10, 30) == [(10, 0), (10, 1), (10, 3)]
     for words, most in ((7, 7 * 3 * 20_000), (1, 10**9), (5, 5)):
