@@ -19,7 +19,7 @@ SIDE_BYTES, LEAST_ROWS = 32 << 20, 512
 #: Scores that a worker holds at once.
 SCORES = 2_000_000
 #: Lists that a merge takes for each query, and queries of a merge.
-FAN, MERGED_QUERIES = 16, 4096
+FAN, MERGED_QUERIES = 16, 512
 #: Stands for a null id, which comes after all others.
 NO_ID = np.iinfo(np.int64).max
 LISTS = "dim int, block int, part int, shard int, query long, query_id long, ids array<long>, scores array<long>"
