@@ -231,10 +231,10 @@ def retrieve_no_prev(spark, d):
 
 @query()
 def retrieval_blocks(spark, d):
-    """Pairs of a private row and a block of its clusters: how many there are, and how many are read."""
-    v = _vectors(spark, d)
-    pool = v.where("label < 5").select(F.col("vec_id").alias("pool_id"), F.col("label").alias("cluster"), "embedding")
-    return retrieval.block_shares(v.where("label >= 5").select("doc_id", "pos", vectors.doubles(F.col("embedding")).alias("noisy")), pool, _centroids(spark, d))
+    """Pairs of a private sentence and a block of its clusters: how many there are, and how many are read."""
+    _, private, pool, centroids = _pool(spark, d)
+    rows = private.where("sentence is not null").select("doc_id", "pos", F.col("embedding").alias("noisy"))
+    return retrieval.block_shares(rows, pool, centroids, block_rows=64)
 
 
 def _pool(spark, d):

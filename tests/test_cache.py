@@ -1,8 +1,11 @@
 """Caches that runs share: fingerprints, chunks that are made once, and results that are written once."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from hushtext.operators import metrics
 from hushtext.plans import cache, experiment
 
 
@@ -64,9 +67,20 @@ def test_results_are_written_once(spark, tmp_path):
     assert experiment.finished(spark, path, "other").count() == 0
 
 
-def test_changed_data_under_one_name(spark, tmp_path):
-    config = experiment.Config(n_clusters=2, pca_dim=0, dim=8, max_private=6, skip_perplexity=True, skip_bertscore=True, skip_downstream=True)
+def test_changed_data_and_a_model(spark, tmp_path):
+    """Other texts under one name are other results and another cache; a model's embedder and language model run in plans."""
+    config = experiment.Config(model="stub", n_clusters=0, pca_dim=0, max_private=6, skip_bertscore=True, skip_downstream=True)
     docs = spark.createDataFrame([(i, f"The river {i} is long. A stone bridge {i % 3} stands.") for i in range(20)], "doc_id long, text string")
-    one = experiment.run(spark, docs, config, [], str(tmp_path), "k").collect()
-    other = experiment.run(spark, docs.withColumn("text", F.concat("text", F.lit(" More words here."))), config, [], str(tmp_path), "k").collect()
+    encode = lambda: lambda texts: [[float(len(t)), float(t.count("e")), 1.0] for t in texts]
+    score = lambda: lambda texts: ([0.5 * len(t.split()) for t in texts], [len(t.split()) for t in texts])
+
+    def losses(rows):
+        return metrics.language_model_losses(rows, "text", score)
+
+    run = lambda d, e: experiment.run(spark, d, config, e, str(tmp_path), "k", load=encode, losses=losses).collect()
+    one = run(docs, [100.0])
+    value = {(r.epsilon, r.metric): r.value for r in one}
+    assert value[None, "cosine_similarity"] == pytest.approx(1) and 0.9 < value[100.0, "cosine_similarity"] <= 1 + 1e-9
+    assert value[None, "perplexity"] == pytest.approx(math.exp(0.5 * 10)) and value[100.0, "rouge1"] > 0
+    other = run(docs.withColumn("text", F.concat("text", F.lit(" More words here."))), [])
     assert {r.run_id for r in one} != {r.run_id for r in other} and len([x for x in tmp_path.iterdir() if x.name.endswith("_cache")]) == 2
