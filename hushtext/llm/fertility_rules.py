@@ -3,7 +3,8 @@
 Two public vocabularies split the words of a text: one with byte fallback, and one of bytes for many languages.
 Characters per token of either, the share of byte-fallback tokens and the entropy of the token distribution fall into
 narrow bands for prose of one language or script, and outside them for dumps, encodings and spam. Base rules count words, symbols,
-repeated lines and words in repeated windows. One pass, no shuffle; before it, bands are fitted to labelled rows.
+repeated lines and words in repeated windows. Texts are measured
+once, with no shuffle; bands are fitted to the measures of all labelled rows.
 """
 
 from __future__ import annotations
@@ -60,8 +61,8 @@ DEFAULTS: dict[str, Band] = {
     "other": Band(0.2, 9.0, 0.95, 2.5, 13.0),
 }
 #: Share of good labelled text beyond a fitted limit, before it is moved out by MARGIN of its distance from the middle;
-#: good labelled rows that bands are fitted to at most (chosen by hash), and that a language or script must have.
-TAIL, MARGIN, LABELLED_ROWS, LEAST_LABELLED = 0.001, 0.1, 50_000, 100
+#: good labelled rows that a language or script must have.
+TAIL, MARGIN, LEAST_LABELLED = 0.001, 0.1, 100
 #: First code point of each block, and its script.
 BLOCKS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2E80, "cjk"), (0xE000, "other")]
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, second_chars_per_token double, script string"
@@ -188,7 +189,7 @@ def _language(df: DataFrame, language: str):
 
 
 def fit_bands(docs: DataFrame, labels: DataFrame, path: str | None = None, second: str | None = None, language: str = "lang") -> dict[str, Band]:
-    """Bands by language, and by script, of the good labelled rows (quality 1) that pass the base rules.
+    """Bands by language, and by script, of all good labelled rows (quality 1) that pass the base rules.
 
     The lower limits of characters per token and of entropy are quantiles at TAIL, moved out; that of byte-fallback
     tokens is the quantile at the other end. Entropy is taken from a curve of least squares, by sums of each group;
@@ -196,12 +197,20 @@ def fit_bands(docs: DataFrame, labels: DataFrame, path: str | None = None, secon
     band: the default of the script holds. Labels join by doc_id, null ones don't; the rows of a doc_id count one by
     one. No labels, or an empty table: the defaults.
     """
-    spark = docs.sparkSession
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__good")).distinct()
-    n = good.count()
-    good = stored(good.where(F.pmod(F.xxhash64("__good"), F.lit(1 << 30)) < min(1 << 30, (1 << 30) * LABELLED_ROWS // max(n, 1))), "bands-labels")
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _language(docs, language).alias("language"))
-    rows = _base(measure(wanted.join(F.broadcast(good), F.col("doc_id") == F.col("__good")).drop("__good"), path, second)).where("not base_failed")  # LABELLED_ROWS and few more
+    wanted = docs.select("doc_id", "text", _language(docs, language).alias(language))
+    ids = _good(labels)  # texts without one needn't be measured
+    return fit_measured(_base(measure(wanted.join(ids, F.col("doc_id").cast("long") == ids["__good"], "left_semi"), path, second)), labels, language)
+
+
+def _good(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__good")).distinct()
+
+
+def fit_measured(measured: DataFrame, labels: DataFrame, language: str = "lang") -> dict[str, Band]:
+    """fit_bands() of rows that have METRICS and base_failed: only these are joined to labels, in one shuffle of no texts."""
+    spark = measured.sparkSession
+    rows = measured.where("not base_failed").withColumn("language", _language(measured, language)).select(F.col("doc_id").cast("long").alias("__id"), "language", "script", "n_tokens", "token_entropy", "chars_per_token", "second_chars_per_token", "byte_share")
+    rows = rows.join(_good(labels), F.col("__id") == F.col("__good"), "left_semi")
     names = F.explode(F.array_distinct(F.filter(F.array("language", F.col("script")), lambda x: x.isNotNull())))
     held = stored(rows.select(names.alias("name"), F.log2("n_tokens").alias("x"), F.col("token_entropy").alias("y"), "chars_per_token", "second_chars_per_token", "byte_share"), "bands-rows")
     high = held.groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("x", 0.99, 10_000).alias("high")).where(F.col("n") >= LEAST_LABELLED)
@@ -233,8 +242,19 @@ def judge(docs: DataFrame, path: str | None = None, second: str | None = None, b
     rows fare alike; a very long text is measured whole; an empty table gives no rows. Columns of docs with the names
     of results are replaced.
     """
-    rows = _base(measure(docs.drop("base_failed", "kept"), path, second))
-    lang = _language(docs, language)
+    return _judged(_base(measure(docs.drop("base_failed", "kept"), path, second)), bands, language)
+
+
+def judge_fitted(docs: DataFrame, labels: DataFrame, path: str | None = None, second: str | None = None, language: str = "lang", text: bool = True) -> DataFrame:
+    """judge() with the bands that fit_bands() gives for docs and labels. Texts are measured once, and what was measured is stored;
+    without text the column text is left out."""
+    measured = _base(measure(docs.drop("base_failed", "kept"), path, second))
+    measured = stored(measured if text else measured.drop("text"), "measured")
+    return _judged(measured, fit_measured(measured, labels, language), language)
+
+
+def _judged(rows: DataFrame, bands: Mapping[str, Band], language: str) -> DataFrame:
+    lang = _language(rows, language)
     name = F.when(F.coalesce(lang.isin(*bands), F.lit(False)), lang).otherwise(F.col("script"))
     inside = F.lit(False)
     for key, b in bands.items():
@@ -248,7 +268,7 @@ def judge(docs: DataFrame, path: str | None = None, second: str | None = None, b
 RESULTS = (*[x.split()[0] for x in METRICS.split(", ")], "base_failed", "kept")
 
 
-def kept(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that pass, with the columns of docs, whatever their names."""
+def kept(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of docs that pass, with the columns of docs, whatever their names. labels: bands are fitted to them."""
     rows, back = aside(docs, RESULTS)
-    return back(judge(rows, **options).where("kept"))
+    return back((judge(rows, **options) if labels is None else judge_fitted(rows, labels, **options)).where("kept"))

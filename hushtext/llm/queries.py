@@ -50,8 +50,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
-    bands = fertility_rules.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return fertility_rules.judge(docs, bands=bands).drop("text", "lang")
+    return fertility_rules.judge_fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), text=False).drop("lang")
 
 
 def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,3 +276,15 @@ def test_toxic_counts_take_all_rows_and_both_ways_agree(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MODEL_ENTRIES", 0)
     assert toxicity.score(docs, model).orderBy("doc_id").collect() == by_broadcast and len(by_broadcast) == 603
     assert by_broadcast[0].score == next(r.score for r in by_broadcast if r.doc_id == 900)  # null and empty: no evidence
+
+
+def test_bands_of_all_labelled_rows(spark, monkeypatch):
+    """Whatever their number, all good labelled rows count; texts measured once give the same as measured twice."""
+    monkeypatch.setattr(fertility_rules, "LABELLED_ROWS", 50, raising=False)  # a bound of earlier versions
+    made = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit("xx").alias("lang"))
+    labels = made.select("doc_id", F.lit(1).alias("quality"))
+    bands = fertility_rules.fit_bands(made, labels)
+    assert "xx" in bands
+    twice, once = fertility_rules.judge(made, bands=bands), fertility_rules.judge_fitted(made, labels)
+    assert once.columns == twice.columns and sorted(once.collect()) == sorted(twice.collect())
+    assert fertility_rules.kept(made, labels).count() == twice.where("kept").count() < made.count()
