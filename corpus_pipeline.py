@@ -18,8 +18,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands of their language, fitted to the labelled ones among them."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet") if sf_dir else None
-    return fertility_rules.kept(docs, **({"bands": fertility_rules.fit_bands(docs, labels)} if labels else {}))
+    return fertility_rules.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet") if sf_dir else None)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
