@@ -12,6 +12,8 @@ from hushtext.operators.storage import stored
 #: Stands before the first word of a text; no word is empty.
 START = ""
 DISCOUNT = 0.75
+#: Distinct runs of the texts to be scored that are broadcast to those of the corpus; more are joined by shuffles.
+BROADCAST_RUNS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -58,10 +60,59 @@ def fit(corpus: DataFrame, text: str = "text", order: int = 3) -> Model:
             levels[n] = stored(shared.select(*own, (F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("total")).alias("share")), "lm-shares")
             # the next shorter run: without its first word, counted once for each
             counts = stored(counts.groupBy(*[F.col(x).alias(y) for x, y in zip(own[1:], own)]).agg(F.count("*").alias("c")), "lm-continued")
+    levels[1], unseen = _single_words(counts)
+    return Model(order, levels, contexts, unseen)
+
+
+def fit_for(corpus: DataFrame, rows: DataFrame, text: str = "text", order: int = 3) -> Model:
+    """fit() of the whole corpus, of which levels and contexts hold what losses() of rows looks up, with the same values.
+
+    Runs of the corpus move once, dealt by all their words but the first: so one pass counts them, counts the shorter runs
+    that they go on as, and keeps those whose context stands in rows. What is stored is a row for each shorter run.
+    """
+    names = [f"w{i + 1}" for i in range(order)]
+    scored = stored(runs(rows, text, order).distinct(), "lm-scored")
+    few = scored.count() <= BROADCAST_RUNS
+
+    def wanted(first: int, last: int) -> DataFrame:
+        """The distinct runs of words first to last of those to be scored, as w1 and so on."""
+        out = scored.select(*[F.col(x).alias(y) for x, y in zip(names[first:last], names)]).distinct()
+        return F.broadcast(out) if few else out
+
+    def kept(counts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """The level and the contexts of runs of n words; counts: all runs with a context that is wanted."""
+        own = names[:n]
+        context = counts.groupBy(*own[:-1]).agg(F.sum("c").alias("total"), F.sum(F.least(F.col("c"), F.lit(DISCOUNT))).alias("off"))
+        context = stored(context.select(*own[:-1], "total", (F.col("off") / F.col("total")).alias("rest")), "lm-contexts")
+        mine = counts.join(wanted(order - n, order), own, "left_semi").join(context.drop("rest"), own[:-1])
+        return stored(mine.select(*own, (F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("total")).alias("share")), "lm-shares"), context
+
+    levels, contexts = {}, {}
+    counts = runs(corpus, text, order)
+    if order > 1:
+        rest = names[1:]
+        counts = counts.repartition(*rest).groupBy(*names).agg(F.count("*").alias("c"))
+        marked = counts.join(wanted(0, order - 1).withColumn("__near", F.lit(True)), names[:-1], "left")
+        near = F.collect_list(F.when(F.col("__near"), F.struct("w1", "c"))).alias("near")
+        held = stored(marked.groupBy(*rest).agg(F.count("*").alias("n"), near), "lm-continued")
+        own = held.where(F.size("near") > 0).select(*rest, F.explode("near").alias("r")).select("r.w1", *rest, "r.c")
+        levels[order], contexts[order] = kept(own, order)
+        counts = held.select(*[F.col(x).alias(y) for x, y in zip(rest, names)], F.col("n").alias("c"))
+    else:
+        counts = stored(counts.groupBy("w1").agg(F.count("*").alias("c")), "lm-runs")
+    for n in range(order - 1, 0, -1):
+        if n > 1:
+            own = names[:n]
+            levels[n], contexts[n] = kept(counts.join(wanted(order - n, order - 1), own[:-1], "left_semi"), n)
+            counts = stored(counts.groupBy(*[F.col(x).alias(y) for x, y in zip(own[1:], own)]).agg(F.count("*").alias("c")), "lm-continued")
+    levels[1], unseen = _single_words(counts)
+    return Model(order, levels, contexts, unseen)
+
+
+def _single_words(counts: DataFrame) -> tuple[DataFrame, float]:
     total, kinds, off = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.least(F.col("c"), F.lit(DISCOUNT))), F.lit(0.0))).first()
     unseen = float(off) / total / (kinds + 1) if total else 1.0
-    levels[1] = counts.select("w1", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / max(total, 1)) + unseen).alias("share"))
-    return Model(order, levels, contexts, unseen)
+    return counts.select("w1", ((F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / max(total, 1)) + unseen).alias("share")), unseen
 
 
 def losses(rows: DataFrame, text: str, model: Model, key: str = "doc_id") -> DataFrame:

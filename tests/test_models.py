@@ -203,3 +203,18 @@ def test_downstream_against_a_plain_solution(spark, kinds):
     rows = lambda s: spark.createDataFrame([(v.tolist(), int(y)) for v, y in zip(x[s], labels[s])], "embedding array<double>, label int")
     got = metrics.downstream_f1(rows(train), rows(test)).first()
     assert got.f1_macro == pytest.approx(np.mean(each), abs=1e-6) and got.f1_micro == pytest.approx((guess == truth).mean(), abs=1e-6)
+
+
+@pytest.mark.parametrize("order, few", [(1, 200_000), (2, 200_000), (3, 200_000), (3, 0), (4, 200_000)])
+def test_model_of_what_is_scored(spark, monkeypatch, order, few):
+    """The losses of the whole model, from a model that keeps only what the texts look up."""
+    monkeypatch.setattr(language_model, "BROADCAST_RUNS", few)
+    rnd = random.Random(order)
+    corpus = spark.createDataFrame([(i, " ".join(rnd.choices("abcdef", k=12))) for i in range(60)] + [(90, None), (91, " ")], "doc_id long, text string")
+    rows = spark.createDataFrame([(0, "a b c a"), (1, "x a b y f"), (2, "f e d c b a"), (3, None), (4, "z")], "doc_id long, text string")
+    whole, slim = language_model.fit(corpus, order=order), language_model.fit_for(corpus, rows, order=order)
+    found, expected = (sorted(language_model.losses(rows, "text", m).collect()) for m in (slim, whole))
+    assert [(r.doc_id, r.n_tokens) for r in found] == [(r.doc_id, r.n_tokens) for r in expected] and len(found) == 4
+    assert [r.nll for r in found] == pytest.approx([r.nll for r in expected], abs=1e-12) and slim.unseen == whole.unseen
+    if order == 3:
+        assert 0 < slim.levels[3].count() < whole.levels[3].count()
