@@ -67,7 +67,7 @@ def sanitize_sentences(private: DataFrame, pool: DataFrame, ready: Prepared, eps
             nonlocal prev
             sentence, noisy = waiting.pop(pos)
             place, score = retriever.step(noisy, after, prev)
-            prev = retriever.columns[:, place].copy()
+            prev = retriever.vectors[place].copy()
             out.append((*doc, pos, sentence, int(retriever.ids[place]), score))
 
         for frame in frames:
